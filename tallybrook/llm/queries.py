@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import word_bpe
 from .common import documents
 from .lines import LineDedup
 from .mixing import Mix
@@ -31,6 +32,10 @@ FROM m GROUP BY r
 """
 
 
+def op3_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.report(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
@@ -68,6 +73,7 @@ FROM r
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_word_bpe": op3_word_bpe,
     "op9_token_files": op9_token_files,
     "op10_mixing": op10_mixing,
 }
