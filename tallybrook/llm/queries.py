@@ -12,6 +12,7 @@ from . import word_bpe
 from .common import documents
 from .lines import LineDedup
 from .mixing import Mix
+from .simhash import SimHash
 from .token_files import token_files
 
 
@@ -36,6 +37,10 @@ def op3_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.report(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SimHash().groups(documents(spark, sf_dir))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
@@ -74,6 +79,7 @@ FROM r
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_word_bpe": op3_word_bpe,
+    "op8_simhash": op8_simhash,
     "op9_token_files": op9_token_files,
     "op10_mixing": op10_mixing,
 }
