@@ -14,6 +14,11 @@ from .lines import LineDedup
 from .mixing import Mix
 from .simhash import SimHash
 from .token_files import token_files
+from .toxicity import Toxicity
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +42,10 @@ def op3_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.report(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Toxicity().report(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SimHash().groups(documents(spark, sf_dir))
 
@@ -79,6 +88,7 @@ FROM r
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_word_bpe": op3_word_bpe,
+    "op6_toxicity": op6_toxicity,
     "op8_simhash": op8_simhash,
     "op9_token_files": op9_token_files,
     "op10_mixing": op10_mixing,
