@@ -15,6 +15,7 @@ from .mixing import Mix
 from .simhash import SimHash
 from .token_files import token_files
 from .toxicity import Toxicity
+from .vectors import approximate_top_k, exact_top_k
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +43,28 @@ def op3_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.report(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, 20)
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, max(list_transform(embedding, lambda x: x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id),
+w AS (SELECT vec_id, list_transform(e, lambda x: floor(64 * x)) AS e FROM v),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+      FROM w AS q JOIN w AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+def op5_approximate_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return approximate_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Toxicity().report(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -88,10 +111,12 @@ FROM r
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_word_bpe": op3_word_bpe,
+    "op4_exact_top_k": op4_exact_top_k,
+    "op5_approximate_top_k": op5_approximate_top_k,
     "op6_toxicity": op6_toxicity,
     "op8_simhash": op8_simhash,
     "op9_token_files": op9_token_files,
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op10_mixing": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op4_exact_top_k": OP4_SQL, "op10_mixing": OP10_SQL}
