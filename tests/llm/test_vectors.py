@@ -60,7 +60,7 @@ def test_exact_against_brute_force(spark, monkeypatch):
 
 @pytest.mark.parametrize("scale", [64.0, 1e5, 1e9])
 def test_number_types(scale):
-    x = made(40, seed=3)
+    x = made(40, seed=3).astype(float)
     q, c, s = term_at_a_time(x[:5], np.arange(5), x, np.arange(40), 3, scale)
     w = np.floor(scale * x.astype(float)).clip(-(2**31), 2**31).astype(np.int64).astype(object)
     for a, b, n in zip(q, c, s, strict=True):
