@@ -12,6 +12,7 @@ from . import word_bpe
 from .common import documents
 from .lines import LineDedup
 from .mixing import Mix
+from .secrets import SecretScan
 from .simhash import SimHash
 from .token_files import token_files
 from .toxicity import Toxicity
@@ -69,6 +70,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Toxicity().report(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SecretScan().scan(documents(spark, sf_dir))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SimHash().groups(documents(spark, sf_dir))
 
@@ -114,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_top_k": op4_exact_top_k,
     "op5_approximate_top_k": op5_approximate_top_k,
     "op6_toxicity": op6_toxicity,
+    "op7_secret_scan": op7_secret_scan,
     "op8_simhash": op8_simhash,
     "op9_token_files": op9_token_files,
     "op10_mixing": op10_mixing,
