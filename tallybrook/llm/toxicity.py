@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower_words, crc32_text
 
 #: Labelled documents a class that training takes at most.
-PER_CLASS = 4_000
+PER_CLASS = 2_000
 DISCOUNT, CONTEXT, STEADY = 0.75, 8, 20
 #: Beginnings that fewer training documents hold are left to the shared model, where the classes agree.
 LEAST = 3
@@ -126,17 +126,23 @@ def fit(toxic: list[str | None], ordinary: list[str | None], ratio: float = 1.0)
     sides = (toxic, ordinary)
     learn = [side[: len(side) - len(side) // 4] for side in sides]
     check = [side[len(side) - len(side) // 4 :] for side in sides]
+    words = [Counter(w for t in texts for w in set(ascii_lower_words(t))) for texts in learn]
+    # Most beginnings are rare: they are counted alone first, and tables are made of the others only.
+    seen: Counter[str] = Counter()
+    for side in words:
+        for w, n in side.items():
+            for context, _ in _spelling(w):
+                seen[context] += n
+    often = {c for c, n in seen.items() if n >= LEAST}
+    del seen
     counts: list[Counts] = [{}, {}]
-    for texts, own in zip(learn, counts, strict=True):
-        for w, n in Counter(w for t in texts for w in set(ascii_lower_words(t))).items():
-            for context, letter in _spelling(w):
-                _add(own, context, letter, n)
     both: Counts = {}
-    for own in counts:
-        for context, letters in own.items():
-            for letter, n in letters.items():
-                _add(both, context, letter, n)
-    both = {c: own for c, own in both.items() if sum(own.values()) >= LEAST}
+    for side, own in zip(words, counts, strict=True):
+        for w, n in side.items():
+            for context, letter in _spelling(w):
+                if context in often:
+                    _add(own, context, letter, n)
+                    _add(both, context, letter, n)
     shared, gain = _Shared(both), {}
     for context, letters in both.items():
         own = [side.get(context, {}) for side in counts]
