@@ -21,11 +21,13 @@ without toxic or without ordinary training documents every score is 0 or 1; rows
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,26 +123,36 @@ def _contrast(a: float, n: float, b: float, m: float) -> float:
     return out
 
 
+def _place(context: str) -> int:
+    return xxhash.xxh3_64_intdigest(context)
+
+
+def _often(words: list[Counter[bytes]]) -> set[int]:
+    """Hashes of the beginnings that LEAST documents hold.  Most are rare, and only arrays of hashes grow with those."""
+    places = array("Q")
+    counts = array("l")
+    for side in words:
+        for w, n in side.items():
+            own = [_place(context) for context, _ in _spelling(w)]
+            places.extend(own)
+            counts.extend([n] * len(own))
+    kinds, at = np.unique(np.frombuffer(places, np.uint64), return_inverse=True)
+    return set(kinds[np.bincount(at, np.frombuffer(counts, np.int64), len(kinds)) >= LEAST].tolist()) if len(kinds) else set()
+
+
 def fit(toxic: list[str | None], ordinary: list[str | None], ratio: float = 1.0) -> Model:
     """ratio: how many ordinary documents of the corpus one of the sample stands for, for each one that a toxic one stands for."""
     sides = (toxic, ordinary)
     learn = [side[: len(side) - len(side) // 4] for side in sides]
     check = [side[len(side) - len(side) // 4 :] for side in sides]
     words = [Counter(w for t in texts for w in set(ascii_lower_words(t))) for texts in learn]
-    # Most beginnings are rare: they are counted alone first, and tables are made of the others only.
-    seen: Counter[str] = Counter()
-    for side in words:
-        for w, n in side.items():
-            for context, _ in _spelling(w):
-                seen[context] += n
-    often = {c for c, n in seen.items() if n >= LEAST}
-    del seen
+    often = _often(words)
     counts: list[Counts] = [{}, {}]
     both: Counts = {}
     for side, own in zip(words, counts, strict=True):
         for w, n in side.items():
             for context, letter in _spelling(w):
-                if context in often:
+                if _place(context) in often:
                     _add(own, context, letter, n)
                     _add(both, context, letter, n)
     shared, gain = _Shared(both), {}
