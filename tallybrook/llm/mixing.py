@@ -88,6 +88,11 @@ class Mix:
         out = (d if rows else light).join(per_source, F.col("source").eqNullSafe(F.col("at")), "left")
         return out.select(*["row"] * rows, "doc_id", "size", "source", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))
 
+    def repeated(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+        """The mix itself: each row of docs as often as it is taken, with the same columns."""
+        times = F.explode(F.array_repeat(F.lit(0), F.col("repeats").cast("int")))
+        return self.apply(docs, doc_id, text, source, rows=True).where("repeats > 0").select("row", times).select("row.*")
+
 
 def words(text: Column) -> Column:
     """The number of words of a text."""

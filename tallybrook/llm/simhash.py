@@ -168,6 +168,19 @@ class SimHash:
             F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.nullif("component", F.lit(NULL_ID)).alias("component_id"),
         )
 
+    def keep_one(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        """docs with one document of each group: the one with the smallest doc_id; the columns are the same.
+
+        Rows that share a doc_id are one document if their texts are the same, and the first of them stays.
+        """
+        folder = shared_dir(docs.sparkSession)
+        groups = settle(self.groups(docs, doc_id, text), folder, "groups")
+        lost = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("tallybrook_id")).distinct()
+        out = docs.join(lost, F.coalesce(docs[doc_id].cast("long"), F.lit(NULL_ID)) == F.col("tallybrook_id"), "left_anti")
+        if groups.count() > groups.select("doc_id").distinct().count():  # ids that repeat
+            out = out.dropDuplicates([doc_id, text])
+        return out
+
 
 def _edges(found, columns, ends):
     a, b = [], []

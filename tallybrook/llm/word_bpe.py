@@ -242,19 +242,21 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def report(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row: encoded, then decoded from the ids."""
+def report(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row: encoded, then decoded from the ids; with ids, these too (binary)."""
 
     def run(batches):
         coder = load(path)
         for b in batches:
-            n, ids_sum, text_sum = [], [], []
-            for part in _parts(b.column(1).to_pylist()):
-                for ids in coder.encode_batch(part):
-                    n.append(len(ids) // 4)
-                    ids_sum.append(hashlib.sha256(ids).hexdigest())
-                    text_sum.append(hashlib.sha256(coder.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sum, pa.string()), pa.array(text_sum, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            kept = [x for part in _parts(b.column(1).to_pylist()) for x in coder.encode_batch(part)]
+            out = {
+                "doc_id": b.column(0), "n_tokens": pa.array([len(x) // 4 for x in kept], pa.int64()),
+                "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
+                "decoded_sha256": pa.array([hashlib.sha256(coder.decode(x)).hexdigest() for x in kept], pa.string()),
+            }
+            if ids:
+                out["ids"] = pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_pydict(out)
 
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return d.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return d.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids)
