@@ -146,7 +146,8 @@ class SecretScan:
     @staticmethod
     def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """doc_id, start (code points before it), value, before, after of every candidate."""
-        around = rf"(?s)(.*?)({CANDIDATE})(?=(.{{0,{AFTER}}}))"
+        # \G: a match begins where the last one ended, so that the text after the last candidate is read once.
+        around = rf"(?s)\G(.*?)({CANDIDATE})(?=(.{{0,{AFTER}}}))"
         d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").rlike(CANDIDATE))
         group = lambda k: F.regexp_extract_all("text", F.lit(around), F.lit(k))
         d = d.withColumn("row", F.monotonically_increasing_id())  # of the text, before its candidates become rows
