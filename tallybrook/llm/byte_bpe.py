@@ -47,6 +47,16 @@ class ByteBpe:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
         return self.core.encode_to_numpy(text, allowed_special=self.specials, disallowed_special=())
 
+    def encode_ordinary(self, text: str) -> np.ndarray:
+        """As encode(), but special tokens' strings are ordinary text."""
+        if len(text) > LONG_RUN and _LONG.search(text):
+            self.library.encode_special_tokens = True
+            try:
+                return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+            finally:
+                self.library.encode_special_tokens = False
+        return self.core.encode_to_numpy(text, allowed_special=frozenset(), disallowed_special=())
+
 
 _loaded: dict[str, ByteBpe] = {}
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import word_bpe
 from .common import documents
 from .lines import LineDedup
+from .lm import LanguageModel
 from .mixing import Mix
 from .secrets import SecretScan
 from .simhash import SimHash
@@ -40,6 +41,10 @@ FROM m GROUP BY r
 """
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return LanguageModel(public_tokenizers.path("byte_bpe_50k.json")).score(documents(spark, sf_dir))
+
+
 def op3_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.report(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -115,6 +120,7 @@ FROM r
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_word_bpe": op3_word_bpe,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_approximate_top_k": op5_approximate_top_k,
