@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once: a lambda's variable holds it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -18,10 +23,14 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
+def unit(a: Column) -> Column:
+    """At length one; a zero vector stays."""
+    return let(F.greatest(norm(a), F.lit(1e-12)), lambda n: F.transform(a, lambda x: x / n))
+
+
 def prefix(a: Column, k: int) -> Column:
     """The first k components at length one; a zero vector stays."""
-    head = F.slice(a, 1, k)
-    return F.transform(head, lambda x: x / F.greatest(norm(head), F.lit(1e-12)))
+    return let(F.slice(a, 1, k), unit)
 
 
 def int8_scale(a: Column) -> Column:
@@ -40,8 +49,7 @@ def from_int8(codes: Column, scale: Column) -> Column:
 def mean_pool(rows: Column, mask: Column) -> Column:
     """The mean of the rows whose mask is 1, at length one (a zero vector stays)."""
     kept = F.transform(F.filter(F.arrays_zip(rows.alias("v"), mask.alias("m")), lambda x: x["m"] == 1), lambda x: x["v"])
-    n = F.greatest(F.size(kept), F.lit(1))
-    width = F.size(F.get(rows, F.lit(0)))
-    total = F.aggregate(kept, F.array_repeat(F.lit(0.0), width), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
-    mean = F.transform(total, lambda x: x / n)
-    return F.transform(mean, lambda x: x / F.when(norm(mean) > 0, norm(mean)).otherwise(1.0))
+    zero = F.array_repeat(F.lit(0.0), F.size(F.get(rows, F.lit(0))))
+    total = lambda vs: F.aggregate(vs, zero, lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    mean = let(kept, lambda vs: let(total(vs), lambda t: F.transform(t, lambda x: x / F.greatest(F.size(vs), F.lit(1)))))
+    return let(mean, unit)

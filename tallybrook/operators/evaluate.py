@@ -26,6 +26,10 @@ def is_lenient_match(field: Column, got: Column, expected: Column) -> Column:
     return F.coalesce(F.when(field == "store_branch", F.endswith(got, expected) | F.endswith(expected, got)).otherwise(got == expected), F.lit(False))
 
 
+def _same(year: Column, month: Column, day: Column):
+    return lambda r: (r["y"] == year) & (r["m"] == month) & (r["d"] == day)
+
+
 def value_in_line(field: Column, value: Column, line: Column) -> Column:
     """Whether a line holds a value: amounts as whole numbers, dates and times in any spelling, else as text."""
     plain, close = t.plain_digits(line), t.unspaced(line)
@@ -33,10 +37,10 @@ def value_in_line(field: Column, value: Column, line: Column) -> Column:
     part = lambda k: F.split_part(value, F.lit("-"), F.lit(k)).try_cast("int").cast("string")
     year, month, day = F.split_part(value, F.lit("-"), F.lit(1)), part(2), part(3)
     date = F.lit(False)
-    for pattern, y in ((r"(\d{4})年0?(\d+)月0?(\d+)日", year), (r"(\d{4})[/.\-]0?(\d{1,2})[/.\-]0?(\d{1,2})", year), (r"(\d{2})\.0?(\d{1,2})\.0?(\d{1,2})", F.substring(year, 3, 2))):
+    for pattern, y_ in ((r"(\d{4})年0?(\d+)月0?(\d+)日", year), (r"(\d{4})[/.\-]0?(\d{1,2})[/.\-]0?(\d{1,2})", year), (r"(\d{2})\.0?(\d{1,2})\.0?(\d{1,2})", F.substring(year, 3, 2))):
         groups = [F.regexp_extract_all(close, F.lit(pattern), F.lit(k)) for k in (1, 2, 3)]
         rows = F.arrays_zip(*(g.alias(n) for g, n in zip(groups, "ymd", strict=True)))
-        date = date | F.exists(rows, lambda r, y=y: (r["y"] == y) & (r["m"] == month) & (r["d"] == day))
+        date = date | F.exists(rows, _same(y_, month, day))
     hour, minute = F.split_part(value, F.lit(":"), F.lit(1)).try_cast("int").cast("string"), F.split_part(value, F.lit(":"), F.lit(2))
     clock = lambda p: F.arrays_zip(F.regexp_extract_all(close, F.lit(p), F.lit(1)).alias("h"), F.regexp_extract_all(close, F.lit(p), F.lit(2)).alias("m"))
     time = F.exists(clock(r"0?(\d{1,2})[:：](\d{2})(?!\d)"), lambda r: (r["h"] == hour) & (r["m"] == minute))

@@ -29,7 +29,7 @@ def nearest(lines: DataFrame, protos: DataFrame, line_id: str = "line_id", emb:
     n = protos.count()
     if n > MOST_PROTOTYPES:
         raise ValueError(f"{n} prototypes; {MOST_PROTOTYPES} at most are broadcast")
-    unit = (lambda c: v.prefix(c, dims)) if dims else (lambda c: F.transform(c, lambda x: x / F.greatest(v.norm(c), F.lit(1e-12))))
+    unit = (lambda c: v.prefix(c, dims)) if dims else v.unit
     one = protos.select("proto_idx", "label", unit(F.col("emb")).alias("emb")).agg(F.array_sort(F.collect_list(F.struct("proto_idx", "label", "emb"))).alias("protos"))
     d = lines.select(line_id, unit(F.col(emb)).alias("_e")).crossJoin(F.broadcast(one))  # one row on the other side
     scored = F.transform("protos", lambda p: F.struct(v.dot(F.col("_e"), p["emb"]).alias("score"), (-p["proto_idx"]).alias("order"), p["label"].alias("label")))

@@ -5,7 +5,7 @@ SQL states the same values directly, so a query that reads them back from the te
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -20,8 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line numbers repeat in an order: a line's place is its own, by number, price and part."""
     d = table(spark, sf_dir, "lineitem")
-    return d.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), F.floor("l_extendedprice").cast("bigint").alias("yen"), F.when(F.col("l_tax") < 0.05, 8).otherwise(10).alias("rate"))
+    line = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_extendedprice", "l_partkey"))
+    return d.select(F.col("l_orderkey").alias("k"), line.alias("line"), F.floor("l_extendedprice").cast("bigint").alias("yen"), F.when(F.col("l_tax") < 0.05, 8).otherwise(10).alias("rate"))
 
 
 def amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +62,7 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: i: items; r: amounts; f: all fields that a text prints.
 SQL = f"""
-WITH i AS (SELECT l_orderkey AS k, l_linenumber AS line, floor(l_extendedprice)::BIGINT AS yen, CASE WHEN l_tax < 0.05 THEN 8 ELSE 10 END AS rate FROM lineitem),
+WITH i AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_partkey) AS line, floor(l_extendedprice)::BIGINT AS yen, CASE WHEN l_tax < 0.05 THEN 8 ELSE 10 END AS rate FROM lineitem),
 a AS (SELECT k, count(*) AS n, sum(yen)::BIGINT AS total, coalesce(sum(yen) FILTER (rate = 8), 0)::BIGINT AS a8, coalesce(sum(yen) FILTER (rate = 10), 0)::BIGINT AS a10 FROM i GROUP BY k),
 r AS (SELECT *, a8 * 8 // 108 AS t8, a10 * 10 // 110 AS t10, (total + 999) // 1000 * 1000 AS deposit, (total + 999) // 1000 * 1000 - total AS change FROM a),
 f AS (SELECT r.k, ([{", ".join(f"'{s}'" for s in SHOPS)}])[r.k % {len(SHOPS)} + 1] AS store_brand, replace(n_name, '_', '') || '店' AS store_branch,

@@ -183,7 +183,11 @@ def q_lines_from_boxes(spark, sf_dir):
     return d.select("k", layout.to_text(F.transform("all", lambda x: x["b"])).alias("text"))
 
 
-@query("SELECT order_, string_agg(l, '' ORDER BY line) AS text FROM (SELECT l_orderkey AS order_, l_linenumber AS line, l_returnflag AS l, lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS p FROM lineitem) WHERE l <> 'N' AND l IS DISTINCT FROM p GROUP BY order_")
+@query(
+    "WITH s AS (SELECT l_orderkey AS order_, l_linenumber AS line, l_returnflag AS l, CASE l_returnflag WHEN 'N' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS c FROM lineitem), "
+    "p AS (SELECT *, row_number() OVER w AS pos, lag(c, 1, 0) OVER w AS prior FROM s WINDOW w AS (PARTITION BY order_ ORDER BY line, c)) "
+    "SELECT order_, string_agg(l, '' ORDER BY pos) AS text FROM p WHERE c <> 0 AND c <> prior GROUP BY order_"
+)
 def q_ctc_collapse(spark, sf_dir):
     """Return flags as steps: N is blank."""
     step = F.when(F.col("l_returnflag") == "N", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2)
@@ -493,7 +497,7 @@ def q_cache_missing(spark, sf_dir):
     return readers.missing(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("WITH u AS (SELECT DISTINCT user_id, event_id % 50 AS idx FROM events), p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY idx) - 1 AS at FROM u) SELECT user_id, idx FROM p WHERE at = idx")
+@query("WITH u AS (SELECT DISTINCT user_id, event_id % 50 AS idx FROM events), p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY idx) - 1 AS pos FROM u) SELECT user_id, idx FROM p WHERE pos = idx")
 def q_asset_gap(spark, sf_dir):
     return readers.until_gap(table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 50).alias("idx")), "user_id")
 
