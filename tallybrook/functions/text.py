@@ -19,6 +19,10 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+# So that a filter on what is made from it isn't pushed into it: the planner can't run a Python step within a lambda.
+nfkc = nfkc.asNondeterministic()
+
+
 @F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block similarity 2M / T of two strings; the order of the arguments counts."""

@@ -489,6 +489,16 @@ def q_manifest_left_join(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey").join(s, "p_partkey", "left")
 
 
+@query("SELECT (['conv', 'super', 'dining', 'service'])[o_orderkey % 4 + 1] AS template, count(*) AS n, count(*) AS n_ok FROM orders GROUP BY 1")
+def q_generated_receipts(spark, sf_dir):
+    """A generated receipt an order: how many print what they hold, and give it back when read."""
+    fields = [f for f in fixed.FIELDS if f != "store_branch"]
+    made = synth.receipts(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")))
+    d = made.select("id", "template", "text", F.struct(*fields).alias("true"))
+    read = extract.with_fields(d, "text", fixed.BRANDS + base.SHOPS)
+    return read.groupBy("template").agg(F.count("*").alias("n"), F.count_if(F.col("true").eqNullSafe(F.struct(*fields))).alias("n_ok"))
+
+
 # Sources, caches, statistics
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallybrook import fixed
 from tallybrook.functions import vectors as v
-from tallybrook.operators import evaluate, labeling, layout, quality, synth
+from tallybrook.operators import evaluate, extract, labeling, layout, ocr, quality, synth
 
 
 def test_both_forms_of_lines_agree(spark):
@@ -65,3 +65,29 @@ def test_vectors(spark):
     scale = v.int8_scale(x)
     r = spark.range(1).select(v.int8(x, scale), v.int8_scale(F.array(F.lit(0.0))), v.prefix(x, 1), v.norm(v.unit(x))).first()
     assert r[0] == [64, -127, 32] and r[1] == 1e-8 and r[2] == [1.0] and abs(r[3] - 1) < 1e-12
+
+
+def test_generated_receipts_are_consistent_and_come_back(spark):
+    made = synth.receipts(spark.range(400)).cache()
+    assert made.where("deposit IS NOT NULL AND deposit - change <> total").count() == 0 and made.where("deposit IS NULL").count() > 50
+    shops = [s for all_ in fixed.SHOPS.values() for s in all_]
+    got = extract.with_fields(made.select("id", "text"), "text", shops)
+    rows = evaluate.facts(made, got, ["id"])
+    wrong = rows.where("NOT ok AND NOT (field = 'store_branch')").collect()
+    assert not wrong and rows.where("ok").count() > 0.99 * rows.count()
+    again = synth.receipts(spark.range(399, -1, -1, 3))
+    assert again.exceptAll(made).count() == 0
+
+
+class Fake:
+    def recognise(self, content):
+        if content == b"bad":
+            raise ValueError
+        return [{"text": "¥5", "poly": [[90, 0], [99, 0], [99, 10], [90, 10]]}, {"text": "合計", "poly": [[0, 1], [9, 1], [9, 11], [0, 11]]}]
+
+
+def test_engine(spark):
+    images = spark.createDataFrame([("a", bytearray(b"x"), True), ("b", bytearray(b"bad"), True), ("c", None, False)], "path string, content binary, ok boolean")
+    out = {r.path: (r.ok, r.total, r.source) for r in ocr.process(images, Fake, lambda d: d.withColumns({"label": F.lit("other"), "score": F.lit(0.0)})).collect()}
+    assert out == {"a": (True, 5, "regex"), "b": (False, None, "regex"), "c": (False, None, None)}
+    assert ocr.variants(images, ["x", "y"]).count() == 6
