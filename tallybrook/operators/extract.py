@@ -80,27 +80,28 @@ def brand_exact(loose_text: Column, brands: list[str]) -> Column:
     return F.coalesce(*(F.when(F.contains(loose_text, F.lit(_py_loose(b))), F.lit(b)) for b in brands))
 
 
+def _likeness(form: str, part: str) -> float:
+    return difflib.SequenceMatcher(None, form, part).ratio()
+
+
 def brand_fuzzy(brands: list[str]):
     """A column function: the brand most like a window of the text (FUZZY at least; ties: earlier brand and window)."""
     forms = [(b, _py_loose(b)) for b in brands]
 
-    @F.pandas_udf(T.StringType())
-    def best(texts: pd.Series) -> pd.Series:
-        def of(text):
-            if text is None:
-                return None
-            whole, top, out = _py_loose(text), 0.0, None
-            for brand, form in forms:
-                same = difflib.SequenceMatcher(None, form, "")
-                for i in range(max(1, len(whole) - len(form) + 1)):
-                    same = difflib.SequenceMatcher(None, form, whole[i : i + len(form)])
-                    if same.real_quick_ratio() > top and same.quick_ratio() > top and (r := same.ratio()) > top and r >= fixed.FUZZY:
-                        top, out = r, brand
-            return out
+    def of(text: str | None) -> str | None:
+        if text is None:
+            return None
+        whole = _py_loose(text)
+        # max() keeps the first of equals: brands in their order.
+        best = {b: max(_likeness(f, whole[i : i + len(f)]) for i in range(max(1, len(whole) - len(f) + 1))) for b, f in forms}
+        top = max(best, key=best.get)
+        return top if best[top] >= fixed.FUZZY else None
 
+    @F.pandas_udf(T.StringType())
+    def fuzzy(texts: pd.Series) -> pd.Series:
         return texts.map(of)
 
-    return best
+    return fuzzy
 
 
 def _brand_pattern(brand: str) -> str:
@@ -117,34 +118,36 @@ def strip_brand(line: Column, brand: Column, brands: list[str]) -> Column:
     return out
 
 
-@F.pandas_udf(T.StringType())
-def strip_brand_fuzzy(line: pd.Series, brand: pd.Series) -> pd.Series:
-    """A line without the window most like its brand (FUZZY at least, brands of four letters or more)."""
+def _without_likest(line: str, brand: str) -> str:
+    """A line without the window that is most like its brand, if it is FUZZY at least and the brand has four letters."""
+    form = _py_loose(brand)
+    sizes = range(max(3, len(form) - 2), len(form) + 3) if len(form) >= 4 else ()
+    cuts = [(i, i + n) for n in sizes for i in range(len(line) - n + 1)]
+    scored = {c: _likeness(form, _py_loose(line[slice(*c)])) for c in cuts}
+    best = max(scored, key=scored.get, default=None)
+    return line if best is None or scored[best] < fixed.FUZZY else line[: best[0]] + line[best[1] :]
 
-    def of(text, name):
-        if text is None or name is None or len(form := _py_loose(name)) < 4:
-            return text
-        best, cut = 0.0, None
-        for size in range(max(3, len(form) - 2), len(form) + 3):
-            for i in range(len(text) - size + 1):
-                r = difflib.SequenceMatcher(None, form, _py_loose(text[i : i + size])).ratio()
-                if r > best:
-                    best, cut = r, (i, size)
-        return text[: cut[0]] + text[cut[0] + cut[1] :] if cut and best >= fixed.FUZZY else text
 
-    return pd.Series([of(a, b) for a, b in zip(line, brand, strict=True)])
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def strip_brand_fuzzy(lines: pd.Series, stripped: pd.Series, brand: pd.Series) -> pd.Series:
+    """stripped, and where that is the line as it was, the line without what is most like the brand."""
+    each = lambda a, b, name: [y if x != y or name is None else _without_likest(x, name) for x, y in zip(a, b, strict=True)]
+    return pd.Series([None if a is None else each(a, b, name) for a, b, name in zip(lines, stripped, brand, strict=True)])
 
 
-def branch_of(text: Column, brand: Column | None = None, brands: list[str] | None = None) -> Column:
-    """The first line's word that ends in the shop sign, without brand and leading town."""
+def line_forms(text: Column) -> Column:
+    """A text's lines without white space."""
+    return F.transform(F.split(text, "\n"), t.unspaced)
+
+
+def branch_of(stripped: Column) -> Column:
+    """The first line's word that ends in the shop sign, without a leading town.  stripped: lines without white space and brand."""
 
     def one(line: Column) -> Column:
-        whole = t.unspaced(line)
-        whole = strip_brand(whole, brand, brands) if brand is not None and brands else whole
-        whole = F.regexp_replace(whole, f"(?Ud){fixed.TOWN_FIRST}", "")
+        whole = F.regexp_replace(line, f"(?Ud){fixed.TOWN_FIRST}", "")
         return F.when(~F.contains(whole, F.lit("対象")), t.long_mark(t.found(whole, fixed.BRANCH, 1)))
 
-    return F.get(F.filter(F.transform(F.split(text, "\n"), one), lambda x: x.isNotNull()), F.lit(0))
+    return F.get(F.filter(F.transform(stripped, one), lambda x: x.isNotNull()), F.lit(0))
 
 
 def plain_fields(text: Column) -> dict[str, Column]:
@@ -167,8 +170,12 @@ def with_fields(df: DataFrame, text: str, brands: list[str], fuzzy: bool = False
         # A Python step runs on the rows that need it and no others.
         rest = d.where(F.col("_brand").isNull()).withColumn("_brand", brand_fuzzy(brands)(text))
         d = d.where(F.col("_brand").isNotNull()).unionByName(rest)
-    made = {"store_brand": F.coalesce("_brand", t.found(F.col(text), fixed.CAPITALS)), "store_branch": branch_of(F.col(text), F.col("_brand"), brands)}
-    return d.withColumns(made | plain_fields(F.col(text))).withColumn("total", derived_total()).drop("_brand")
+    d = d.withColumn("_lines", line_forms(F.col(text)))
+    d = d.withColumn("_stripped", F.transform("_lines", lambda x: strip_brand(x, F.col("_brand"), brands)))
+    if fuzzy:
+        d = d.withColumn("_stripped", strip_brand_fuzzy("_lines", "_stripped", "_brand"))
+    made = {"store_brand": F.coalesce("_brand", t.found(F.col(text), fixed.CAPITALS)), "store_branch": branch_of(F.col("_stripped"))}
+    return d.withColumns(made | plain_fields(F.col(text))).withColumn("total", derived_total()).drop("_brand", "_lines", "_stripped")
 
 
 def extract_fields(df: DataFrame, text: str = "text", extra_brands: list[str] | None = None, normalise: bool = True, fuzzy: bool = True) -> DataFrame:

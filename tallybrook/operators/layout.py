@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import fixed
 
@@ -48,33 +46,6 @@ def to_text(boxes: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda x: F.array_join(F.transform(members(x), lambda m: m["text"]), " ")), "\n")
 
 
-@F.pandas_udf(T.StringType())
-def to_text_arrow(boxes: pd.Series) -> pd.Series:
-    """to_text() in Arrow batches, for images with very many boxes, where the fold's copies of arrays would cost more."""
-
-    def of(rows):
-        found: list[list] = []
-        for b in sorted(rows, key=lambda r: (r["top"] + r["bottom"]) / 2):
-            middle, best, top = (b["top"] + b["bottom"]) / 2, None, fixed.OVERLAP
-            for line in found:
-                height = min(b["bottom"] - b["top"], line[1] - line[0])
-                centre = (line[0] + line[1]) / 2
-                if height > 0 and line[0] <= middle <= line[1] and b["top"] <= centre <= b["bottom"]:
-                    share = (min(b["bottom"], line[1]) - max(b["top"], line[0])) / height
-                    if share >= top:
-                        best, top = line, share
-            if best is None:
-                found.append([b["top"], b["bottom"], [b]])
-            else:
-                n = len(best[2])
-                best[:2] = [(best[0] * n + b["top"]) / (n + 1), (best[1] * n + b["bottom"]) / (n + 1)]
-                best[2].append(b)
-        found.sort(key=lambda x: (x[0] + x[1]) / 2)
-        return "\n".join(" ".join(m["text"] for m in sorted(x[2], key=lambda m: m["left"])) for x in found)
-
-    return boxes.map(lambda x: None if x is None else of(x))
-
-
 def ctc_text(steps: Column, letters: Column) -> Column:
     """steps: best class at each time; letters: class 0 is blank.  Drops blanks and repeats of the step before."""
     kept = F.filter(steps, lambda x, i: (x != 0) & (F.coalesce(F.get(steps, i - 1), F.lit(0)) != x))

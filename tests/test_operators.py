@@ -1,5 +1,3 @@
-import random
-
 from pyspark.sql import functions as F
 
 from tallybrook import fixed
@@ -7,12 +5,23 @@ from tallybrook.functions import vectors as v
 from tallybrook.operators import evaluate, extract, labeling, layout, ocr, quality, synth
 
 
-def test_both_forms_of_lines_agree(spark):
-    rng = random.Random(1)
-    images = [(i, [(float(y := rng.randrange(0, 120)), float(y + rng.choice([0, 8, 10, 20])), float(rng.randrange(0, 50, 10)), f"t{j}") for j in range(rng.randint(0, 12))]) for i in range(150)]
-    df = spark.createDataFrame(images + [(-1, None)], "i int, boxes array<struct<top:double,bottom:double,left:double,text:string>>")
-    rows = df.select("i", layout.to_text(F.col("boxes")).alias("a"), layout.to_text_arrow("boxes").alias("b")).collect()
-    assert all(r.a == r.b for r in rows) and sum(" " in (r.a or "") for r in rows) > 20
+BOXES = [
+    ([], ""),
+    ([(0, 10, 50, "b"), (2, 12, 0, "a"), (30, 40, 0, "c")], "a b\nc"),
+    ([(30, 40, 0, "c"), (0, 10, 0, "a")], "a\nc"),
+    ([(0, 10, 0, "a"), (0, 10, 0, "b")], "a b"),  # equal places keep their order
+    ([(0, 10, 0, "a"), (6, 16, 9, "b")], "a\nb"),  # centres lie within each other's edge, the overlap is too small
+    ([(5, 5, 0, "flat"), (0, 10, 0, "a")], "flat\na"),  # no height, no overlap
+    ([(0, 40, 0, "BIG"), (0, 10, 60, "up"), (30, 40, 60, "low")], "up\nBIG\nlow"),  # a large line takes no small one off its centre
+    ([(0, 10, 0, "a"), (4, 14, 9, "b"), (8, 18, 20, "c")], "a b\nc"),  # the extent is the mean, it doesn't grow to take in c
+]
+
+
+def test_boxes_become_lines(spark):
+    rows = [(i, [(float(a), float(b), float(x), s) for a, b, x, s in boxes]) for i, (boxes, _) in enumerate(BOXES)] + [(-1, None)]
+    df = spark.createDataFrame(rows, "i int, boxes array<struct<top:double,bottom:double,left:double,text:string>>")
+    got = {r.i: r.t for r in df.select("i", layout.to_text(F.col("boxes")).alias("t")).collect()}
+    assert {i: got[i] for i in range(len(BOXES))} == {i: want for i, (_, want) in enumerate(BOXES)} and got[-1] is None
 
 
 def test_ctc(spark):
