@@ -79,13 +79,13 @@ def term_at_a_time(queries: np.ndarray, qi: np.ndarray, candidates: np.ndarray,
     Each component is a term with a posting list: the candidates where it isn't zero, and their weights.
     A query's terms scatter their weighted postings into its dense array of scores; a list that
     holds most candidates is kept as a plain array of weights, and scatters by adding all of it.
-    ci must ascend.
+    ci must ascend.  Weights of any size are exact; a score beyond 64 bits is an OverflowError.
     """
-    q, c = (np.clip(np.floor(scale * x), -(2.0**31), 2.0**31) for x in (queries, candidates))
+    q, c = (np.floor(scale * x) for x in (queries, candidates))
     bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
     # Whole numbers are exact in float32 below 2**24, in float64 below 2**53.
-    kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64
-    q, c = q.astype(kind), c.astype(kind)
+    kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64 if bound < 2**63 else object
+    q, c = (np.frompyfunc(int, 1, 1)(x) if kind is object else x.astype(kind) for x in (q, c))
     postings = []
     for j in range(c.shape[1]):
         ids = np.flatnonzero(c[:, j])

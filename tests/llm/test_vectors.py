@@ -110,3 +110,16 @@ def test_recall(spark, copies):
         total += 5
         assert all(abs(n - s[np.searchsorted(ids, c)]) < 1e-12 for c, n in got[q]) and [n for _, n in got[q]] == sorted((n for _, n in got[q]), reverse=True)
     assert found / total >= 0.99
+
+
+def test_exact_beyond_31_bits():
+    import numpy as np
+
+    from tallybrook.llm.vectors import term_at_a_time
+
+    for big in (2.0**27, 2.0**40):
+        q, c = np.array([[big, 1.0]]), np.array([[3.0, 1.0], [5.0, 2.0], [-1.0, 0.0]])
+        got = sorted(term_at_a_time(q, np.array([9]), c, np.arange(3), 3, 64.0)[2].tolist(), reverse=True)
+        assert got == [4096 * (int(big) * 5 + 2), 4096 * (int(big) * 3 + 1), -4096 * int(big)]
+    q, c = np.array([[2.0**53, 0.0]]), np.array([[0.015625, 2.0**20]])  # bound beyond 64 bits, the score not
+    assert term_at_a_time(q, np.array([9]), c, np.arange(1), 1, 64.0)[2].tolist() == [2**59]
