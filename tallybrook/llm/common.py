@@ -21,11 +21,13 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as a URI, with a fresh subfolder for this call.
 
-    It is the cluster's ``spark.checkpoint.dir``; only where that is unset (a local session, as in
-    tests) a temporary folder takes its place.
+    It is the cluster's ``spark.checkpoint.dir``.  Where that is unset, a session in one JVM (as in tests) gets a
+    temporary folder; a cluster gets an error, since no executor would see the folder of another.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tallybrook-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -37,6 +39,29 @@ def settle(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+def discard(spark: SparkSession, folder: str, *names: str) -> None:
+    """Removes settled tables that nothing reads any more."""
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Keys with over one in HEAVY rows are heavy: there are fewer than HEAVY of them, which bounds what is broadcast.
+HEAVY = 500
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str, rows: str, how: str = "inner") -> DataFrame:
+    """left joined (inner, or left) with right, however many of left's rows share a key.
+
+    right has a row a key and, in the column rows, how many of left's rows have it; that column isn't returned.  Heavy keys
+    are joined where left's rows are, without a shuffle, so no task gets a key's rows together unless they are few.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    heavy, light = right.where(F.col(rows) * HEAVY > total).drop(rows), right.where(F.col(rows) * HEAVY <= total).drop(rows)
+    few = F.broadcast(heavy)  # fewer than HEAVY rows
+    return left.join(few, key).unionByName(left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, how))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

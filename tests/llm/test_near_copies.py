@@ -5,7 +5,7 @@ import corpus_pipeline
 import numpy as np
 
 from tallybrook.llm import near_copies
-from tallybrook.llm.near_copies import NearCopies
+from tallybrook.llm.simhash import SimHash
 
 SCHEMA = "doc_id long, text string"
 
@@ -48,6 +48,25 @@ def test_stage_against_brute_force(spark):
     assert sorted(r.doc_id for r in kept) == brute(rows) and all((r.doc_id, r.text) in rows for r in kept)
 
 
+def test_groups_of_many_parts(spark, monkeypatch):
+    """Parts of few shingles and buckets of many nodes: a group goes through leaders and pairs of parts, with the same result."""
+    monkeypatch.setattr(near_copies, "PART", 300)
+    monkeypatch.setattr(near_copies, "MANY", 20)
+    rng, rows = random.Random(33), []
+    base = [f"w{rng.randrange(300)}" for _ in range(60)]
+    for i in range(160):  # one group by chains of copies: later ones are none of the first
+        if i % 4 == 0:
+            base[rng.randrange(60)] = f"n{i}"
+        u = list(base)
+        u[rng.randrange(60)] = f"m{i}"
+        rows.append((i, " ".join(u)))
+    rows += copies()[:80]
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    rng.shuffle(rows)
+    kept = SimHash(words=5, similarity=0.8).keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r.doc_id for r in kept) == brute(rows)
+
+
 def test_pairs_at_the_threshold_share_a_bucket():
     rng = np.random.default_rng(22)
     for n in [9] * 500 + [90] * 500 + [1800] * 100:
@@ -57,9 +76,9 @@ def test_pairs_at_the_threshold_share_a_bucket():
 
 def test_ids_that_repeat_with_other_texts(spark):
     x, y = "a clean text of seven words here", "quite another text that nobody else has"
-    kept = NearCopies().keep_one(spark.createDataFrame([(5, x), (8, x), (5, y), (3, y), (None, "q"), (1, "q"), (3, y)], SCHEMA)).collect()
+    kept = SimHash(words=5, similarity=0.8).keep_one(spark.createDataFrame([(5, x), (8, x), (5, y), (3, y), (None, "q"), (1, "q"), (3, y)], SCHEMA)).collect()
     assert sorted(map(tuple, kept), key=str) == sorted([(5, x), (3, y), (None, "q")], key=str)
 
 
 def test_empty(spark):
-    assert NearCopies().keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert SimHash(words=5, similarity=0.8).keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
