@@ -92,5 +92,37 @@ def test_index_is_reversible(spark):
     counts = {bytes(r.key): (r.n_docs, r.keeper) for r in index.counts.collect()}
     fresh = {bytes(r.key): (r.n_docs, r.keeper) for r in rule.counts(rule.keys(frame(spark, left))).collect()}
     assert counts == fresh
-    index.delete(spark.createDataFrame([(i,) for i in range(40)], "doc_id long"))
+    index.delete(spark.createDataFrame([(i,) for i in range(60)], "doc_id long"))
     assert index.counts.count() == 0 and sum(len(Cuckoo.load(bytes(r["filter"]))) for r in index.filters.collect()) == 0
+
+
+def test_other_shards_are_left_alone(spark):
+    index = LineIndex(spark, LineDedup(min_docs=2, shards=64))
+    index.insert(frame(spark, [(i, "\n".join(f"a line of its own with many characters {i // 2} {k}" for k in range(9))) for i in range(10)]))
+    before = {name: {s: list(p) for s, p in all_.items()} for name, all_ in index.places.items()}
+    assert len(before["counts"]) > 20
+    line = "a line of its own with many characters 2 3"
+    for step, change in enumerate((lambda: index.insert(frame(spark, [(50, line)])), lambda: index.delete(spark.createDataFrame([(50,)], "doc_id long")))):
+        change()
+        for name, all_ in index.places.items():
+            other = {s for s in all_ if all_[s] != before[name].get(s)}
+            assert len(other) <= 1, (step, name)
+        before = {name: {s: list(p) for s, p in all_.items()} for name, all_ in index.places.items()}
+    assert {r.n_docs for r in index.counts.collect()} == {2}
+
+
+def test_names_that_clash_and_many_shards(spark):
+    rows = corpus(60)
+    names = ["doc_id", "text", "lost", "row", "tallybrook_id", "tallybrook_drop", "key"]
+    d = spark.createDataFrame([(i, t, "l", "r", 1, [b"k"], b"k") for i, t in rows], "doc_id long, text string, lost string, row string, tallybrook_id int, tallybrook_drop array<binary>, key binary")
+    out = LineDedup(shards=1000).apply(d)
+    assert out.columns == names and sorted(tuple(r)[:4] for r in out.collect()) == sorted((i, t, "l", "r") for i, _, _, t in brute(rows))
+    many = LineDedup(shards=1024).keys(frame(spark, [(i, f"a line of its own with quite many characters {i}") for i in range(3000)]))
+    assert many.agg({"shard": "max"}).first()[0] > 900
+
+
+def test_a_line_that_all_documents_share(spark):
+    """Its postings meet their count without a shuffle by key."""
+    rows = [(i, "Licensed to everybody under no terms whatsoever" + f"\nown line {i}") for i in range(3000)]
+    got = LineDedup().report(frame(spark, rows)).collect()
+    assert sum(r.n_dropped for r in got) == 2999 and [r.doc_id for r in got if not r.n_dropped] == [2999]
