@@ -14,8 +14,8 @@ from tallybrook.llm import word_bpe
 from tallybrook.llm.common import documents, settle, shared_dir
 from tallybrook.llm.lines import LineDedup
 from tallybrook.llm.mixing import Mix
-from tallybrook.llm.near_copies import NearCopies
 from tallybrook.llm.queries import labels
+from tallybrook.llm.simhash import SimHash
 from tallybrook.llm.toxicity import Toxicity
 
 
@@ -32,7 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies (five words, similarity 0.8) stays."""
-    return NearCopies().keep_one(docs)
+    return SimHash(words=5, similarity=0.8).keep_one(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
