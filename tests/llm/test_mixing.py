@@ -35,8 +35,8 @@ def check(spark, rows, **options):
         assert all(r["source_size"] == sizes[s] and abs(r["target"] - want[s]) < 1e-6 for r in mine)
         assert abs(sum(r["taken"] for r in mine) - want[s]) <= max([r["size"] for r in mine]) + 1e-6
         assert all(r["taken"] <= mix.epochs * r["size"] for r in mine)
-    again = mix.apply(spark.createDataFrame(rows[::-1], SCHEMA)).collect()
-    assert sorted(map(str, again)) == sorted(map(str, mix.apply(spark.createDataFrame(rows, SCHEMA)).collect()))
+    again = [r.asDict() for r in mix.apply(spark.createDataFrame(rows[::-1], SCHEMA)).collect()]
+    assert sorted(map(str, again)) == sorted(map(str, got))
 
 
 def test_hot_source(spark):
@@ -51,5 +51,32 @@ def test_all_saturated(spark):
     check(spark, [(i, "a b c", f"s{i % 3}", None, 0) for i in range(9)], total=5.0)
 
 
+def test_one_id_for_all(spark):
+    """The cut falls among rows that share an id: copies of one document, and documents that differ."""
+    check(spark, [(None, f"w{k} " * (k % 5), "a", "x", 1) for k in range(100)] + [(2, "v", "b", "x", 1)], bins=16)
+    check(spark, [(7, "w " * 4, None, "x", 1)] * 3000 + [(2, "v " * 12_000, "b", "x", 1)], bins=16, weights=(5, 3))
+
+
+def test_same_as_sql_where_ids_repeat(spark, tmp_path):
+    import duckdb
+
+    from tallybrook.llm.queries import OP10_SQL
+
+    rows = [(k % 9 if k % 4 else None, "w " * (k % 6), "abc"[k % 3] if k % 7 else None) for k in range(300)] + [(5, "w w w", "a")] * 200
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/d")
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    got = Mix().apply(spark.read.parquet(f"{tmp_path}/d")).select("doc_id", "size", "source", "source_size", "target", "repeats", "taken").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, duckdb.sql(OP10_SQL).fetchall()))
+
+
+def test_rows_pass_whole_and_as_often_as_counted(spark):
+    rows = [(7, "w w w", "a", "x", 1)] * 50 + [(i, "v " * i, "b", None, i) for i in range(20)]
+    d = spark.createDataFrame(rows, SCHEMA).withColumnsRenamed({"size": "row", "draw": "content"})
+    out = Mix().repeated(d)
+    assert out.columns == d.columns
+    want = sum(r.repeats for r in Mix().apply(d).collect())
+    assert abs(out.count() - want) == 0 and set(map(tuple, out.collect())) <= set(rows)
+
+
 def test_empty(spark):
     assert Mix().apply(spark.createDataFrame([], SCHEMA)).count() == 0
