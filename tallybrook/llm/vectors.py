@@ -2,12 +2,15 @@
 
 Both search a stated query set against all rows in blocks.  Candidates are dealt into groups by a hash of
 their id, queries into tiles of at most TILE; a task holds one group and one tile, and gives each query's best
-of the group, which are then merged by query.  Memory is bounded by the sizes of a group and a tile.
+of the group, which are then merged by query.  Memory is bounded by the sizes of a group and a tile.  Each candidate is
+sent once for each tile of queries: with a fixed share of the rows as queries that is quadratic, as the contract's
+work is; more queries a tile trade memory for it.
 
 Defined results: vectors that are null or hold a null, NaN or infinite component take no part, nor do null ids;
 shorter vectors count as padded with zeros; rows that share a vec_id are one row (the largest of their
-vectors); a query's own row is no candidate of it; with fewer candidates than k, all are returned; an
-empty table gives no rows; other columns are not looked at.
+vectors), in the SQL too; ties go to the smaller vec_id; a query's own row is no candidate of it; with fewer candidates
+than k, all are returned; components of any finite size count, and an integer score beyond 64 bits is an error; an
+empty table gives no rows; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parallelism
+from .common import parallelism, settle, shared_dir
 
 #: Candidates in a group, and queries in a tile, about.
 GROUP, TILE = 16_384, 4_096
@@ -109,6 +112,7 @@ def term_at_a_time(queries: np.ndarray, qi: np.ndarray, candidates: np.ndarray,
                 scores[np.ix_(used, ids)] += np.multiply.outer(rows[used, j], weights)
         own = np.searchsorted(ci, qi[at : at + tile])
         mine = (own < n) & (ci[np.minimum(own, n - 1)] == qi[at : at + tile])
+        scores[np.flatnonzero(mine), own[mine]] = 0  # takes no part, so its size doesn't matter
         for i, row in enumerate(scores.astype(np.int64)):
             keep = np.ones(n, bool)
             if mine[i]:
@@ -133,7 +137,8 @@ def _best(scores: np.ndarray, keep: np.ndarray, k: int) -> np.ndarray:
 
 def exact_top_k(df: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest integer inner products of floor(scale * x)."""
-    return in_blocks(sound(df, vec_id, vector), is_query, lambda q, qi, c, ci, _: term_at_a_time(q, qi, c, ci, k, scale), k, "long")
+    rows = settle(sound(df, vec_id, vector), shared_dir(df.sparkSession), "vectors")
+    return in_blocks(rows, is_query, lambda q, qi, c, ci, _: term_at_a_time(q, qi, c, ci, k, scale), k, "long")
 
 
 # Approximate nearest neighbours
@@ -225,9 +230,14 @@ SAMPLE = 8_192
 MARGIN = 4.0
 
 
-def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    norm = np.sqrt((x * x).sum(axis=1))
-    return x / norm[:, None], norm
+def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows at length one; and the rows times a power of two that brings their largest component near one, with their lengths.
+
+    Cosines are the same for the scaled rows, to the bit where nothing over- or underflows, and right where it would.
+    """
+    scaled = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
+    norm = np.sqrt((scaled * scaled).sum(axis=1))
+    return scaled / norm[:, None], scaled, norm
 
 
 def approximate_top_k(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -237,7 +247,8 @@ def approximate_top_k(df: DataFrame, is_query: Column, k: int = 5, vec_id: str =
     everything whose code could still bring it among them, MARGIN errors allowed: however many near-equal
     vectors there are, none is cut off by a fixed depth.
     """
-    rows = sound(df, vec_id, vector).where(F.exists("vector", lambda x: x != 0))
+    folder = shared_dir(df.sparkSession)
+    rows = settle(sound(df, vec_id, vector).where(F.exists("vector", lambda x: x != 0)), folder, "vectors")
     width = rows.agg(F.max(F.size("vector"))).first()[0] or 0
     sample = rows.orderBy(F.xxhash64(F.lit("fit"), "vec_id"), "vec_id").limit(SAMPLE).select("vector").toArrow()
     fitted = Quantiser.fit(_unit(_matrix(sample.column("vector"), width))[0]) if len(sample) else Quantiser(np.zeros((2, 16, 2)), 1.0)
@@ -250,7 +261,7 @@ def approximate_top_k(df: DataFrame, is_query: Column, k: int = 5, vec_id: str =
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in packed], pa.binary())], ["vec_id", "vector", "code"])
 
     def search(q, qi, c, ci, table, tile=16):
-        (qu, qn), (_, cn) = _unit(q), _unit(c)
+        (qu, q, qn), (_, c, cn) = _unit(q), _unit(c)
         packed = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(c), -1)
         slack = MARGIN * shared.value.error + 1e-6
         out_q, out_c, out_s = [], [], []
@@ -270,5 +281,5 @@ def approximate_top_k(df: DataFrame, is_query: Column, k: int = 5, vec_id: str =
                 out_s.append(scores[best])
         return tuple(np.concatenate(x) for x in (out_q, out_c, out_s))
 
-    indexed = rows.mapInArrow(index, "vec_id long, vector array<double>, code binary")
+    indexed = settle(rows.mapInArrow(index, "vec_id long, vector array<double>, code binary"), folder, "index")
     return in_blocks(indexed, is_query, search, k, "double")

@@ -62,7 +62,7 @@ def test_exact_against_brute_force(spark, monkeypatch):
 def test_number_types(scale):
     x = made(40, seed=3).astype(float)
     q, c, s = term_at_a_time(x[:5], np.arange(5), x, np.arange(40), 3, scale)
-    w = np.floor(scale * x.astype(float)).clip(-(2**31), 2**31).astype(np.int64).astype(object)
+    w = np.vectorize(int, otypes=[object])(np.floor(scale * x.astype(float)))
     for a, b, n in zip(q, c, s, strict=True):
         assert n == int((w[a] * w[b]).sum())
 
@@ -123,3 +123,18 @@ def test_exact_beyond_31_bits():
         assert got == [4096 * (int(big) * 5 + 2), 4096 * (int(big) * 3 + 1), -4096 * int(big)]
     q, c = np.array([[2.0**53, 0.0]]), np.array([[0.015625, 2.0**20]])  # bound beyond 64 bits, the score not
     assert term_at_a_time(q, np.array([9]), c, np.arange(1), 1, 64.0)[2].tolist() == [2**59]
+
+
+def test_cosines_of_huge_and_tiny_vectors(spark):
+    rows = [(0, [1e-200, 1e-200]), (50, [1e200, 0.0]), (1, [1e200, 1e200]), (2, [3e-310, 0.0]), (3, [-1e300, 1e-300]), (4, [1.0, 2.0])]
+    got = {}
+    for q, r, c, s in approximate_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(q, []).append((c, round(s, 9)))
+    half, third = round(math.sqrt(0.5), 9), round(3 / math.sqrt(10), 9)
+    assert got == {0: [(1, 1.0), (4, third), (2, half), (50, half), (3, -half)], 50: [(2, 1.0), (0, half), (1, half), (4, round(1 / math.sqrt(5), 9)), (3, -1.0)]}
+
+
+def test_exact_large_and_small_components(spark):
+    rows = [(0, [2.0**26, 1.0]), (1, [1 / 64, 0.0]), (2, [1 / 128, 0.5]), (3, [0.0, 0.0])]
+    got = [(r.vec_id, r.score) for r in exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(1, 2**32), (2, 64 * 32), (3, 0)]
