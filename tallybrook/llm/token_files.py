@@ -6,7 +6,9 @@ byte offset of every block, and for every document its id and the position of it
 document or any range of tokens is read by unpacking the blocks it touches and no others.
 
 Defined results: a null or empty text has the end id only; a null doc_id sorts before all others; rows that
-share a doc_id are separate documents, ordered by their ids; an empty table gives no files and no rows.
+share a doc_id (or have none) are separate documents side by side, ordered by their ids within a file, and over several
+files by a hash of the text first; very long texts are one document of any number of blocks; an empty table gives no files
+and no rows; other columns are not looked at, whatever their names.  The files stay: they are the result.
 """
 
 from __future__ import annotations
@@ -14,11 +16,13 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,7 +83,7 @@ class Writer:
         self.out, self.bits = self.files.open_output_stream(self.own), bits
         self.out.write(MAGIC)
         self.at, self.rest, self.kept = len(MAGIC), [], 0
-        self.blocks, self.ids, self.starts, self.n = [], [], [0], 0
+        self.blocks, self.ids, self.starts, self.n = array("q"), array("q"), array("q", [0]), 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.ids.append(NULL_ID if doc_id is None else doc_id)
@@ -96,7 +100,7 @@ class Writer:
         if end:
             size, n = BLOCK * self.bits // 8, -(-end // BLOCK)
             data = pack(ids[:end], self.bits)
-            self.blocks += range(self.at, self.at + size * n, size)
+            self.blocks.extend(range(self.at, self.at + size * n, size))
             self.out.write(data)
             self.at += len(data)
         self.rest, self.kept = [ids[end:]], len(ids) - end
@@ -164,19 +168,28 @@ class TokenFiles:
         """
         spark = docs.sparkSession
         d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        rows = d.count()
+        rows, order = d.count(), F.coalesce("doc_id", F.lit(NULL_ID))
         n = max(1, min(self.most_files, -(-rows // self.rows_per_file)))
-        cuts = [] if n == 1 else d.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / n) for i in range(1, n)]), 100 * n)).first()[0] or []
-        edges = np.unique(np.array(cuts, np.int64))
+        cuts = [] if n == 1 else d.agg(F.percentile_approx(order, F.array(*[F.lit(i / n) for i in range(1, n)]), 100 * n)).first()[0] or []
+        # An id that is a cut several times has the rows of several files: they are split by a hash of the text.
+        edges, times = np.unique(np.array(cuts, np.int64), return_counts=True)
+        splits = np.append(np.where(times > 1, times, 0), 0)
+        first = np.cumsum(1 + splits) - (1 + splits)  # the shard of what lies below an edge; its own splits follow
         path, end, narrow = self.path, self.end_id, byte_bpe.load(self.path).size <= 1 << 16
+        files = int(first[-1] + 1)
+        tasks = max(1, min(files, parallelism(spark)))
+        key_of = _keys(spark, tasks)
 
         def encode(batches):
             coder, tail = byte_bpe.load(path), np.array([end], np.uint32)
             for b in batches:
-                ids = b.column(0).to_pylist()
-                out = [np.concatenate((coder.encode(t or ""), tail)).astype("<u2" if narrow else "<u4").tobytes() for t in b.column(1).to_pylist()]
-                shard = np.searchsorted(edges, [NULL_ID if i is None else i for i in ids], "left").astype(np.int32) if len(ids) else []
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), b.column(0), pa.array(out, pa.binary())], ["shard", "doc_id", "ids"])
+                ids, texts = np.array([NULL_ID if i is None else i for i in b.column(0).to_pylist()], np.int64), b.column(1).to_pylist()
+                out = [np.concatenate((coder.encode(t or ""), tail)).astype("<u2" if narrow else "<u4").tobytes() for t in texts]
+                at = np.searchsorted(edges, ids, "left")
+                shard = first[at].astype(np.int32)
+                for i in np.flatnonzero((splits[at] > 0) & (np.append(edges, 0)[at] == ids)):
+                    shard[i] += 1 + (xxhash.xxh3_64_intdigest((texts[i] or "").encode("utf-8", "surrogatepass")) * int(splits[at[i]]) >> 64)
+                yield pa.RecordBatch.from_arrays([pa.array(key_of[shard.astype(np.int64) * tasks // files], pa.int32()), pa.array(shard, pa.int32()), b.column(0), pa.array(out, pa.binary())], ["task", "shard", "doc_id", "ids"])
 
         vocabulary_bits = bits_for(byte_bpe.load(self.path).size)
 
@@ -196,11 +209,11 @@ class TokenFiles:
                 done.append((shard, writer))
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in done], pa.int32()), pa.array([f"{folder}/ids-{s:06d}.bin" for s, _ in done], pa.string()), pa.array([len(w.ids) for _, w in done], pa.int64()), pa.array([w.n for _, w in done], pa.int64())], ["shard", "file", "n_docs", "n_ids"])
 
-        dealt = d.mapInArrow(encode, "shard int, doc_id long, ids binary").repartition(parallelism(spark), "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids")
+        dealt = d.mapInArrow(encode, "task int, shard int, doc_id long, ids binary").repartition(tasks, "task").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids").select("shard", "doc_id", "ids")
         # One row a file, most_files at most: this is the only thing the driver gets.
-        files = sorted(dealt.mapInArrow(write, "shard int, file string, n_docs long, n_ids long").collect())
+        written = sorted(dealt.mapInArrow(write, "shard int, file string, n_docs long, n_ids long").collect())
         before, out = 0, []
-        for s, f, docs_in, ids_in in files:
+        for s, f, docs_in, ids_in in written:
             out.append((s, f, docs_in, ids_in, before))
             before += ids_in
         return spark.createDataFrame(out, "shard int, file string, n_docs long, n_ids long, start long")
@@ -223,8 +236,15 @@ class TokenFiles:
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-        n = parallelism(files.sparkSession)
-        return files.repartition(n, "shard").select("file", "start").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        n = max(1, min(parallelism(files.sparkSession), files.count()))
+        return files.repartition(n).select("file", "start").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def _keys(spark, tasks: int) -> np.ndarray:
+    """A number for each task that Spark's hash deals to it: neighbouring files go to one task, and tasks get equally many."""
+    some = spark.range(64 * tasks).select(F.col("id").cast("int").alias("key"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(tasks)).alias("task"))
+    found = {r["task"]: r["key"] for r in some.groupBy("task").agg(F.min("key").alias("key")).collect()}  # a row a task
+    return np.array([found.get(t, t) for t in range(tasks)], np.int32)
 
 
 def token_files(docs: DataFrame, path: str, end_id: int, folder: str | None = None, **options) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tallybrook.llm.byte_bpe import ByteBpe
-from tallybrook.llm.token_files import Reader, Writer, bits_for, pack, token_files, unpack
+from tallybrook.llm.token_files import Reader, TokenFiles, Writer, bits_for, pack, token_files, unpack
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = ["", " ", "a  b\n\nc ", "It's <|endoftext|> naïve  中文 \x1c!", "x" * 5000, None, "the end 12345", "\t\r\n", "a\x85b 'll ſ"]
@@ -44,6 +44,41 @@ def test_same_ids_as_library():
         assert coder.encode(t or "").tolist() == library.encode(t or "", add_special_tokens=False).ids
 
 
+def test_same_ids_as_library_on_random_texts():
+    """Both encoders, ordinary texts and runs around LONG_RUN."""
+    import random
+
+    from tallybrook.llm.byte_bpe import LONG_RUN
+
+    coder, library, rng = ByteBpe(PATH), Tokenizer.from_file(PATH), random.Random(4)
+    parts = ["a", "b", " ", "\n", "'", "s", "é", "1", "  ", "\t", "\xa0", "\x1c", "\x85", "中", "<|endoftext|>", ".", "T", "'ll", "\u0301", "ſ", "𝟙", "\u2003", "<|", "Σ", "İ", "the", "ing", " tion", "\r\n", "🙂"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(6000)]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x250), rng.randrange(0x3000, 0x30FF), rng.randrange(0x1F300, 0x1F400)])) for _ in range(rng.randint(1, 40))) for _ in range(4000)]
+    texts += ["".join(rng.choice("etaoin shrdlu") for _ in range(rng.randint(1, 60))) for _ in range(2000)]
+    for n in (LONG_RUN - 1, LONG_RUN, LONG_RUN + 1, 3 * LONG_RUN):
+        texts += ["ab" * (n // 2) + "c" * (n % 2), " " * n, "\n" * n, "x" * n + " y", "é" * n, "q " + " " * n + "z <|endoftext|>"]
+    for t in texts:
+        assert coder.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids, t[:40]
+    library.encode_special_tokens = True
+    for t in texts:
+        assert coder.encode_ordinary(t).tolist() == library.encode(t, add_special_tokens=False).ids, t[:40]
+
+
+def test_ids_that_fill_files(spark):
+    """Null and repeated ids have the rows of several files, which are split; long texts pass through."""
+    rows = [(None, f"no id {k}") for k in range(50)] + [(5, f"again {k} " * (k % 3)) for k in range(50)] + [(i, "x" * 2500 if i % 5 else None) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in token_files(df, PATH, 2, rows_per_file=10).orderBy("start").collect()]
+    library = Tokenizer.from_file(PATH)
+    coded = [(i, np.array(library.encode(t or "", add_special_tokens=False).ids + [2], "<u4")) for i, t in rows]
+    assert sorted(map(str, [(i, len(x), zlib.crc32(x.tobytes())) for i, x in coded])) == sorted(str((i, n, c)) for i, _, n, c in got)
+    assert [s for _, s, _, _ in got] == np.cumsum([0, *(n for _, _, n, _ in got)])[:-1].tolist()
+    ids = [(i is not None, i or 0) for i, _, _, _ in got]
+    assert ids == sorted(ids)
+    files = TokenFiles(PATH, 2, rows_per_file=10).write(df, f"file://{spark.conf.get('spark.checkpoint.dir').removeprefix('file://')}/filled")
+    assert files.count() > 8 and max(r.n_docs for r in files.collect()) < 40
+
+
 def test_query_against_brute_force(spark):
     rows = [(i * 7 % 11, t, "s") for i, t in enumerate(TEXTS)] + [(None, "no id", "s"), (3, "again", "s"), (3, "again", "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, shard string")
