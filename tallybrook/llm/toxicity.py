@@ -6,16 +6,19 @@ differ.  Each class discounts its own counts and backs off to one shared interpo
 whose counts come from both classes: what a class has hardly seen has the shared probability in both, and so
 hardly counts.  Counts are of documents that hold a word, not of its repetitions.
 
-A text's difference is the sum of its words' log ratios, toxic to ordinary, by its length in words plus STEADY.
+A text's difference is that of its two log-likelihoods, toxic and ordinary, by its length in words plus STEADY.  Letters for
+which the two classes share a probability fall out of it, so only the others are kept (see CONTRAST).
 
 Training takes a bounded sample: the PER_CLASS labelled documents of each class that come first by a hash of
 their id; counts come from three quarters of it and the two numbers that turn the difference into a
-probability from the rest, which the counts have not seen.  The sample is the only thing that the driver
-gets, and its size doesn't grow with the table.  Scores cover every document and whole texts.
+probability from the rest, which the counts have not seen: its slope by logistic regression, and its middle where fewest of
+them are on the wrong side.  The sample's words (each once a document) are all that the driver gets, and their number of documents
+doesn't grow with the table.  Scores cover every document and whole texts, however long.
 
 Defined results: a text without words has difference 0 and so the score of that; a null doc_id
 hashes as the empty text; several labels of a document: toxic if any is; labels that are null are left out;
-without toxic or without ordinary training documents every score is 0 or 1; rows pass through one by one.
+without toxic or without ordinary training documents every score is 0 or 1; rows pass through one by one, repeated ones
+alike; a score of just 0.5 is toxic; an empty table gives no rows; columns of any name pass through apply().
 """
 
 from __future__ import annotations
@@ -39,12 +42,15 @@ DISCOUNT, CONTEXT, STEADY = 0.75, 8, 20
 #: Beginnings that fewer training documents hold are left to the shared model, where the classes agree.
 LEAST = 3
 #: Where the classes' counts differ by less than this G squared, chance may explain it: both have the shared probability.
+#: (Backoff alone doesn't calm chance: long clean texts then differ as much as toxic ones.  The README has the figures.)
 CONTRAST = 15.0
 #: Ratios below three to one are left out too: a large group of copies in one class shifts all others by so much.
 MARGIN = math.log(3)
 _START, _END = "\x02", "\x03"
 
 Counts = dict[str, dict[str, float]]
+#: A text's words, and how often it has each.
+Bag = Counter[bytes]
 
 
 def _spelling(word: bytes) -> list[tuple[str, str]]:
@@ -108,6 +114,10 @@ class Model:
             total = sum([x if (x := self.known.get(w)) is not None else self.word(w) for w in ws])
         return total / (len(ws) + STEADY)
 
+    def of_bag(self, bag: Bag) -> float:
+        """difference() of a text with these words."""
+        return sum([n * self.word(w) for w, n in bag.items()]) / (sum(bag.values()) + STEADY)
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         x = np.array([self.difference(t) for t in texts])
         return 1 / (1 + np.exp(-np.clip(self.slope * x + self.shift, -500, 500)))
@@ -140,12 +150,16 @@ def _often(words: list[Counter[bytes]]) -> set[int]:
     return set(kinds[np.bincount(at, np.frombuffer(counts, np.int64), len(kinds)) >= LEAST].tolist()) if len(kinds) else set()
 
 
-def fit(toxic: list[str | None], ordinary: list[str | None], ratio: float = 1.0) -> Model:
+def bag_of(text: str | None) -> Bag:
+    return Counter(ascii_lower_words(text))
+
+
+def fit(toxic: list[Bag], ordinary: list[Bag], ratio: float = 1.0) -> Model:
     """ratio: how many ordinary documents of the corpus one of the sample stands for, for each one that a toxic one stands for."""
     sides = (toxic, ordinary)
     learn = [side[: len(side) - len(side) // 4] for side in sides]
     check = [side[len(side) - len(side) // 4 :] for side in sides]
-    words = [Counter(w for t in texts for w in set(ascii_lower_words(t))) for texts in learn]
+    words = [Counter(w for bag in bags for w in bag) for bags in learn]
     often = _often(words)
     counts: list[Counts] = [{}, {}]
     both: Counts = {}
@@ -168,7 +182,7 @@ def fit(toxic: list[str | None], ordinary: list[str | None], ratio: float = 1.0)
                 if abs(x := math.log(t / o)) >= MARGIN:
                     gain[context + letter] = x
     model = Model(gain)
-    model.slope, model.shift = _line([np.array([model.difference(t) for t in side]) for side in check], [len(side) for side in learn], ratio)
+    model.slope, model.shift = _line([np.array([model.of_bag(x) for x in side]) for side in check], [len(side) for side in learn], ratio)
     return model
 
 
@@ -189,7 +203,13 @@ def _line(sides: list[np.ndarray], sizes: list[int], ratio: float) -> tuple[floa
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
         slope = z.T @ (weight * (p - y)) + 1e-4 * b
         b -= np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + 1e-4 * np.eye(2), slope)
-    return float(b[0] / scale), float(b[1])
+    order = np.argsort(x, kind="stable")
+    wrong = np.concatenate(([0.0], np.cumsum(np.where(y[order] == 1, weight[order], -weight[order]))))  # with the cut behind each
+    ends = np.concatenate(([x.min() - scale], x[order], [x.max() + scale]))
+    gaps = np.where(np.isclose(wrong, wrong.min()), np.diff(ends), -1)
+    middle = float(ends[gaps.argmax()] + ends[gaps.argmax() + 1]) / 2
+    steep = max(float(b[0] / scale), 1e-6)
+    return steep, -steep * middle
 
 
 @dataclass(frozen=True)
@@ -201,7 +221,7 @@ class Toxicity:
     held: int = 0
 
     def fit(self, docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
-        known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and id is not null")
+        known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and id is not null")
         known = known.where(crc32_text("id") % self.folds != self.held).groupBy("id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
         order = F.xxhash64(F.lit("toxicity"), "id")
         known = known.persist()
@@ -210,11 +230,21 @@ class Toxicity:
         # At most 2 * per_class ids: the bound of what is broadcast, and of the rows that reach the driver.
         sample = chosen[0].unionByName(chosen[1])
         rows = docs.select(F.col(doc_id).alias("at"), F.col(text).alias("text")).join(F.broadcast(sample), F.col("at") == F.col("id"))
-        rows = rows.groupBy("id", "toxic").agg(F.max("text").alias("text")).select(order.alias("order"), "id", "toxic", "text").collect()
+        rows = rows.groupBy("id", "toxic").agg(F.max("text").alias("text")).select(order.alias("order"), "id", "toxic", "text")
+
+        def bags(batches):
+            for b in batches:
+                own = [bag_of(t) for t in b.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([list(x) for x in own], pa.list_(pa.binary())), pa.array([list(x.values()) for x in own], pa.list_(pa.int64()))], ["order", "id", "toxic", "words", "n"])
+
+        rows = rows.mapInArrow(bags, "order long, id long, toxic int, words array<binary>, n array<long>").collect()
         rows.sort(key=lambda r: (r["order"], r["id"]))
         known.unpersist()
         stands = [max(1.0, sizes.get(c, 0) / self.per_class) for c in (1, 0)]
-        return fit(*([r["text"] for r in rows if r["toxic"] == c] for c in (1, 0)), stands[1] / stands[0])
+        kept: dict[bytes, bytes] = {}  # one object a word
+        sides = [[Counter({kept.setdefault(w, w): n for w, n in zip(map(bytes, r["words"]), r["n"], strict=True)}) for r in rows if r["toxic"] == c] for c in (1, 0)]
+        del rows
+        return fit(*sides, stands[1] / stands[0])
 
     def report(self, docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """doc_id, held_out, score and predicted of every row."""

@@ -79,5 +79,63 @@ def test_without_a_class(spark, toxic):
 
 def test_fit_is_deterministic():
     docs, labels = corpus(200)
-    t, o = ([d[1] for d, x in zip(docs, labels, strict=True) if x[2] == c] for c in (1, 0))
+    t, o = ([toxicity.bag_of(d[1]) for d, x in zip(docs, labels, strict=True) if x[2] == c] for c in (1, 0))
     assert fit(t, o).gain == fit(list(t), list(o)).gain
+
+
+def plain_difference(learn, text):
+    """Both classes' log-likelihoods of a text, letter by letter from the definitions."""
+    seen = [[w for t in side for w in {x.decode() for x in toxicity.ascii_lower_words(t)}] for side in learn]
+    whole = lambda w: "\x02" + w + "\x03"
+    pairs = lambda w: [whole(w)[max(0, i - 8) : i] + "|" + whole(w)[i] for i in range(1, len(w) + 2)]
+    counts = [{}, {}]
+    for own, side in zip(counts, seen, strict=True):
+        for w in side:
+            for p in pairs(w):
+                own[p] = own.get(p, 0) + 1
+    often = {}
+    for own in counts:
+        for p, n in own.items():
+            often[p.rpartition("|")[0]] = often.get(p.rpartition("|")[0], 0) + n
+    counts = [{p: n for p, n in own.items() if often[p.rpartition("|")[0]] >= toxicity.LEAST} for own in counts]
+    levels = {p: sum(own.get(p, 0) for own in counts) for own in counts for p in own}
+    for size in range(8, 0, -1):
+        for p in [p for p in levels if len(p.rpartition("|")[0]) == size]:
+            levels[p[1:]] = levels.get(p[1:], 0) + 1
+    followers = {}
+    for p, n in levels.items():
+        followers.setdefault(p.rpartition("|")[0], {})[p[-1]] = n
+
+    def shared(context, x):
+        lower = shared(context[1:], x) if context else 1 / (1 + len(followers.get("", {})))
+        own = followers.get(context)
+        return lower if own is None else (max(own.get(x, 0) - 0.75, 0) + 0.75 * len(own) * lower) / sum(own.values())
+
+    ws, total = toxicity.ascii_lower_words(text), 0.0
+    for w in ws:
+        for p in pairs(w.decode()):
+            context, x = p[:-2], p[-1]
+            rows = [{q[-1]: n for q, n in own.items() if q[:-2] == context} for own in counts]
+            sums = [sum(r.values()) for r in rows]
+            if not all(sums):
+                continue
+            a, b = (r.get(x, 0) for r in rows)
+            rate, g = (a + b) / sum(sums), 0.0
+            for k, n in ((a, sums[0]), (b, sums[1])):
+                g += sum(2 * v * math.log(v / e) for v, e in ((k, n * rate), (n - k, n * (1 - rate))) if v > 0)
+            log = [math.log((max(r.get(x, 0) - 0.75, 0) + 0.75 * len(r) * shared(context, x)) / n) for r, n in zip(rows, sums, strict=True)]
+            if g >= toxicity.CONTRAST and abs(log[0] - log[1]) >= toxicity.MARGIN:
+                total += log[0] - log[1]
+    return total / (len(ws) + toxicity.STEADY)
+
+
+def test_differences_against_plain_version():
+    docs, labels = corpus(160, 5)
+    sides = [[d[1] for d, x in zip(docs, labels, strict=True) if x[2] == c] for c in (1, 0)]
+    model = fit(*([toxicity.bag_of(t) for t in side] for side in sides))
+    learn = [side[: len(side) - len(side) // 4] for side in sides]
+    texts = [sides[0][0], sides[0][-1], sides[1][0], "", "idiot", "Idiots scumbag ra mi É"]
+    assert model.gain and any(plain_difference(learn, t) for t in texts)
+    for t in texts:
+        assert math.isclose(model.difference(t), plain_difference(learn, t), rel_tol=1e-9, abs_tol=1e-12)
+        assert math.isclose(model.of_bag(toxicity.bag_of(t)), model.difference(t), rel_tol=1e-9, abs_tol=1e-12)
