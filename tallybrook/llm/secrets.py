@@ -7,8 +7,13 @@ coverage, path, neighbouring words); a random forest trained on labelled finding
 Labelled findings are a table (value, before, after, label).  Where none is given, a bounded seeded one
 is made by rule from the usual shapes of credentials and of what is taken for them.
 
+Candidates are web tokens of two or three parts, private keys' headers, what is assigned to a name that speaks of a credential
+(eight characters or more of any kind, digits or none), a URL's password, and runs of key characters with a digit.
+
 Defined results: null and empty texts have no findings; a null doc_id passes through; rows that share a
-doc_id each give their findings; an empty table gives no rows.
+doc_id each give their findings; very long texts are read whole; candidates don't overlap: the leftmost is taken, of those
+that begin at one place the first in the order above, and the next begins where it ends or later; an empty table gives no
+rows; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,8 +31,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _CHARS = r"A-Za-z0-9+/_\-"
-#: A run of key characters with a digit, from its start: twelve characters or more.
-CANDIDATE = rf"(?<![{_CHARS}])(?=[A-Za-z+/_\-]*+[0-9])[{_CHARS}]{{12,}}+={{0,2}}"
+_PRINTED = r"!#-&(-+\-.-:=?-~"  # but quotes, angles, commas and semicolons
+_NAMED = r"(?i:passw|passphrase|pwd|secret|token|api|key|credential|auth|bearer)"
+#: In the order in which they are tried at a place.
+CANDIDATE = "(?:" + "|".join([
+    rf"(?<![{_CHARS}])eyJ[A-Za-z0-9_\-]{{6,}}(?:\.[A-Za-z0-9_\-]{{4,}}){{1,2}}",
+    r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----",
+    rf"(?<=[=:][\"' ]{{0,2}})(?<={_NAMED}[A-Za-z0-9_\-]{{0,16}}[\"']{{0,1}} {{0,1}}[=:] {{0,1}}[\"']{{0,1}})[{_PRINTED}]{{7,199}}[A-Za-z0-9!#$%&*+/=?@^_~\-]",
+    r"(?<=:)(?<=://[A-Za-z0-9._\-]{1,32}:)[^\s/@:]{6,64}(?=@)",
+    rf"(?<![{_CHARS}])(?=[A-Za-z+/_\-]*+[0-9])[{_CHARS}]{{12,}}+={{0,2}}",
+]) + ")"
 #: Characters before and after that count as neighbourhood.
 BEFORE, AFTER = 48, 24
 
@@ -41,7 +54,7 @@ DICTIONARY = [
     "update", "upload", "user", "value", "version", "view", "web", "window", "your",
 ]
 
-FEATURES = ["length", "digits", "upper", "lower", "symbols", "transitions", "kinds", "hex_only", "dictionary", "slashes", "dashes", "path_before", "assigned", "quoted", "credential_before", "other_before", "prefix"]
+FEATURES = ["length", "digits", "upper", "lower", "symbols", "transitions", "kinds", "hex_only", "dictionary", "slashes", "dashes", "path_before", "assigned", "quoted", "credential_before", "other_before", "prefix", "vowels", "marks", "reference"]
 _FINDING = "value string, before string, after string, label double"
 
 
@@ -69,7 +82,10 @@ def features(value: Column, before: Column, after: Column) -> dict[str, Column]:
         "quoted": (before.rlike("[\"']$") & after.rlike("^[\"']")).cast("double"),
         "credential_before": among(CREDENTIAL),
         "other_before": among(OTHER),
-        "prefix": value.rlike("^(?:AKIA|ASIA|gh[pousr]_|sk[-_]|xox[abp]-|eyJ|AIza|glpat-)").cast("double"),
+        "prefix": value.rlike("^(?:AKIA|ASIA|gh[pousr]_|sk[-_]|xox[abp]-|eyJ|AIza|glpat-|-----BEGIN )").cast("double"),
+        "vowels": share("[aeiouAEIOU]"),
+        "marks": share("[^A-Za-z0-9/_.-]"),
+        "reference": value.rlike(r"[({$].*[)}]|^\$|^%|^\.|::|^[A-Za-z_]+(?:\.[A-Za-z_]+)+$|^[*x.]+$").cast("double"),
     }
 
 
@@ -97,6 +113,11 @@ def labelled(per_kind: int = 60, seed: int = 11) -> list[dict]:
         lambda: (rng.choice(["ghp_", "sk-", "sk_live_", "xoxb-", "AIza"]) + pick(low + up + digit, rng.randint(24, 40)), rng.choice([text() + " ", named(CREDENTIAL)])),
         lambda: (base64.b64encode(rng.randbytes(rng.choice([24, 32, 48]))).decode(), named(CREDENTIAL)),
         lambda: (pick(low + up + digit, rng.randint(20, 40)), rng.choice(["Authorization: Bearer ", "bearer ", "auth "])),
+        lambda: (pick(low + up + digit + "!#$%&*+=?@^~", rng.randint(9, 24)), named(CREDENTIAL)),
+        lambda: (pick(low, rng.randint(12, 24)), named(CREDENTIAL)),
+        lambda: ("eyJ" + pick(low + up + digit, rng.randint(16, 60)) + "." + pick(low + up + digit + "-_", rng.randint(20, 80)) + "." + pick(low + up + digit + "-_", 43), rng.choice([text() + " ", named(CREDENTIAL), "Authorization: Bearer "])),
+        lambda: (pick(low + up + digit, rng.randint(8, 20)), rng.choice(["https", "postgres", "amqp", "ftp"]) + "://" + pick(low, rng.randint(3, 8)) + ":"),
+        lambda: ("-----BEGIN " + rng.choice(["", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "]) + "PRIVATE KEY-----", rng.choice(["", "\n", text() + "\n"])),
     ]
     no = [
         lambda: (str(uuid.UUID(int=rng.getrandbits(128))), rng.choice([text() + " ", other()])),
@@ -109,13 +130,17 @@ def labelled(per_kind: int = 60, seed: int = 11) -> list[dict]:
         lambda: (pick(low, rng.randint(12, 20)) + pick(digit, 1), text() + " "),
         lambda: (word() + word().capitalize() + word().capitalize() + pick(digit, 1), rng.choice([text() + " ", "def ", "import "])),
         lambda: (pick(digit, 4) + "-" + pick(digit, 4) + "-" + pick(digit, 4), text() + " "),
+        lambda: (rng.choice(["${%s_%s}", "os.environ[%s_%s]", "config.%s.%s", "get_%s(%s)", "{{%s.%s}}", "$%s_%s", "%s::%s"]) % (word(), word()), named(CREDENTIAL)),
+        lambda: (word() + rng.choice("-_.") + word() + rng.choice(["", rng.choice("-_.") + word()]), named(CREDENTIAL)),
+        lambda: (rng.choice(["*", "x", "."]) * rng.randint(8, 16), named(CREDENTIAL)),
+        lambda: ("".join(rng.choice(["ba", "de", "ki", "lo", "mu", "ner", "sta", "tion", "ing", "ver", "ous", "al"]) for _ in range(rng.randint(3, 5))), rng.choice(["the key: ", "token: ", "secret: ", "a token = ", "key="])),
     ]
     out = []
     for label, kinds in ((1.0, yes), (0.0, no)):
         for make in kinds:
             for _ in range(per_kind):
                 value, before = make()
-                after = before[-1] if before[-1] in "\"'" else rng.choice(["", " ", "\n"])
+                after = before[-1] if before[-1:] and before[-1] in "\"'" else rng.choice(["", " ", "\n"])
                 out.append({"value": value, "before": (text() + " " + before)[-BEFORE:], "after": after + text()[:AFTER], "label": label})
     return out
 
