@@ -8,6 +8,10 @@ by following the chain back from its end.
 
 Two tokens may stand side by side if the merges that built them would not have joined anything across their
 seam first.  That is found by undoing the merges next to the seam, latest first.
+
+Defined results: a null or empty text has no ids and decodes to nothing; words and texts of any length take the same way;
+rows that share a doc_id, or have none, pass through one by one, repeated ones alike; an empty table gives no rows; of
+equal merges the left one is made first; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,8 +28,6 @@ from tokenizers import Tokenizer
 
 from .byte_bpe import byte_letters
 
-#: Words this long are cut off from the trie (its depth is bounded) and take the plain last-token pass over arrays.
-DEEP = 200
 #: Fixed value: the pre-tokenizer's pattern for this kind of vocabulary.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _PLAIN = regex.compile(r"[\x21-\x7e\xa1-\xac\xae-ɏ]+")
@@ -94,8 +96,6 @@ class WordBpe:
         root: dict = {}
         for w in words:
             node = root
-            if len(w) > DEEP:
-                continue
             for c in w[:-1]:
                 node = node.setdefault(c, {})
             node.setdefault("", []).append(w)  # its last character has the word-end mark and is no inner node
@@ -113,22 +113,13 @@ class WordBpe:
                 continue
             c, below = step
             if c == "":
-                prefix = "".join(path)
+                prefix = "".join(path[1 - self.longest :]) if self.longest > 1 else ""  # no token is longer
                 for w in below:
                     self.words[w] = self._read(chain, self._last(prefix + w[-1], self.end, chain))
             else:
                 path.append(c)
-                chain.append(self._last("".join(path), "", chain))
+                chain.append(self._last("".join(path[-self.longest :]), "", chain))
                 stack.append(iter(below.items()))
-        for w in words:
-            if len(w) > DEEP:
-                self.words[w] = self._long(w)
-
-    def _long(self, w: str) -> bytes:
-        chain = [(-1, 0)]
-        for d in range(1, len(w)):
-            chain.append(self._last(w[max(0, d - self.longest) : d], "", chain))
-        return self._read(chain, self._last(w[-self.longest :], self.end, chain))
 
     def _last(self, prefix: str, mark: str, chain: list[tuple[int, int]]) -> tuple[int, int]:
         """The last token of a prefix (or its tail), and the depth before it; chain has all shorter prefixes."""
