@@ -61,14 +61,14 @@ FALLBACK_FIELDS = ["total", "deposit", "change", "tax", "date", "time", "store_b
 STRENGTHS = ["light", "medium", "heavy"]
 SWEEP = [0.70, 0.75, 0.80, 0.85, 0.90]
 
-# Made-up shops of generated receipts, by template.
+#: Made-up shops of generated receipts, by template.
 SHOPS = {
-    "conv": ["マルワ商店", "サンライズストア", "エブリデイポート", "ハピネスプラザ"],
-    "super": ["グリーンマート", "フレッシュいちば", "スーパーコダマ", "マルシェタカノ"],
-    "dining": ["バーガーキッチンモリ", "めん処たけや", "キッチンあおば", "レストランひまわり"],
-    "service": ["しろくまクリーニング", "クリーニングコスモ", "ランドリーはなおか"],
+    "conv": ["ミナトコンビニ", "ほしぞらマート", "カワセミストア", "あさつゆショップ"],
+    "super": ["たんぽぽ青果市場", "ヤマネコフーズ", "いろどり生鮮館", "オリオン食品センター"],
+    "dining": ["そば処ひぐらし", "カレー工房ラクダ", "ピザハウスつばめ", "とんかつ亭まつかぜ"],
+    "service": ["さざなみ洗濯舎", "靴修理こまどり", "フォトスタジオ月見草"],
 }
-BRANCHES = ["秋田駅前店", "広面店", "中通二丁目店", "御所野店", "外旭川店", "泉中央店", "土崎港店", "仁井田本町店", "手形山崎店", "川尻大川町店"]
+BRANCHES = ["北港店", "柳橋店", "三本松店", "西野駅前店", "桜坂本店", "大川端店", "湖畔公園店", "東雲町店"]
 WEEKDAYS = "月火水木金土日"
 
 # Sizes of printed receipts.

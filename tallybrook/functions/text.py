@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import fixed
+from .vectors import let
 
 
 @F.pandas_udf(T.StringType())
@@ -23,6 +24,12 @@ def nfkc(texts: pd.Series) -> pd.Series:
 nfkc = nfkc.asNondeterministic()
 
 
+def normalised(text: Column) -> Column:
+    """NFKC form; texts of nothing but letters that it leaves alone don't go through Python."""
+    other = text.rlike(r"[^\x00-\x7F¥ぁ-ゖァ-ヾ一-\u9FFF々、。「」]")
+    return F.coalesce(nfkc(F.when(other, text)), text)
+
+
 @F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block similarity 2M / T of two strings; the order of the arguments counts."""
@@ -31,7 +38,7 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def found(text: Column, pattern: str, group: int = 0) -> Column:
     """A group of the first match, null if there is none (or the group took no part)."""
-    return F.nullif(F.regexp_extract(text, f"(?Ud){pattern}", group), F.lit(""))
+    return let(F.regexp_extract(text, f"(?Ud){pattern}", group), lambda x: F.when(x != "", x))
 
 
 def repaired(text: Column) -> Column:
@@ -61,6 +68,7 @@ def plain_digits(text: Column) -> Column:
 
 
 def digit_mask(text: Column) -> Column:
+    """Every digit as 0; for other forms of digits, of normalised() text."""
     return F.regexp_replace(text, r"(?Ud)\d", "0")
 
 
@@ -93,3 +101,8 @@ def base_name(path: Column) -> Column:
 
 def stem(path: Column) -> Column:
     return F.regexp_replace(base_name(path), r"(?<=.)\.[^.]*$", "")
+
+
+def percent(share: Column) -> Column:
+    """A share as a whole per cent; halves go to even."""
+    return F.concat(F.bround(share * 100, 0).cast("bigint"), F.lit("%"))

@@ -50,13 +50,58 @@ def value_in_line(field: Column, value: Column, line: Column) -> Column:
 
 
 def facts(truth: DataFrame, predicted: DataFrame, keys: list[str], fields: list[str] | None = None) -> DataFrame:
-    """keys, field, expected, got, ok: a row for every field that truth has; other predictions don't count."""
+    """keys, field, expected, got, ok: a row for every field that truth has; other predictions don't count.
+
+    Both are joined as they are, a row a key, and become rows of fields after that.
+    """
+    fields = fields or fixed.FIELDS
+    want, have = truth.select(*keys, F.struct(*fields).alias("_want")), predicted.select(*keys, F.struct(*fields).alias("_have"))
+    return facts_in_row(want.join(have, keys, "left"), keys, "_want", "_have", fields)
+
+
+def facts_in_row(rows: DataFrame, keys: list[str], want: str, have: str, fields: list[str] | None = None) -> DataFrame:
+    """As facts(), of rows that have both as structs: no join."""
     fields = fields or fixed.FIELDS
-    want, have = long_form(truth, keys, fields, "expected"), long_form(predicted, keys, fields, "got")
-    d = want.join(have, [*keys, "field"], "left")
+    cells = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"{want}.{f}").cast("string").alias("expected"), F.col(f"{have}.{f}").cast("string").alias("got")) for f in fields))
+    d = rows.select(*keys, F.inline(cells)).where(F.col("expected").isNotNull())
     return d.withColumn("ok", is_match(F.col("field"), F.col("got"), F.col("expected")))
 
 
+def in_field_order(rows: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """rows with ordinal, the place of their field, in that order."""
+    place = F.create_map(*(F.lit(x) for i, f in enumerate(fields or fixed.FIELDS) for x in (f, i)))
+    return rows.withColumn("ordinal", F.try_element_at(place, F.col("field"))).orderBy("ordinal")
+
+
+def wrong_fields(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys and wrong: "field: expected -> got" of all fields that aren't right, by name."""
+    entry = F.concat(F.col("field"), F.lit(": "), F.col("expected"), F.lit(" -> "), F.coalesce("got", F.lit("-")))
+    return rows.where(~F.col("ok")).groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(entry)), "; ").alias("wrong"))
+
+
+def by_condition(cases: DataFrame, degraded: DataFrame, case: str = "case_id") -> DataFrame:
+    """cases: case, image.  degraded: case, strength, output.  case, cond, image: clean ones and degraded ones side by side."""
+    clean = cases.select(case, F.lit("clean").alias("cond"), "image")
+    return clean.unionByName(degraded.join(cases.select(case), case, "left_semi").select(case, F.col("strength").alias("cond"), F.col("output").alias("image")))
+
+
+def field_by_condition(rows: DataFrame, conditions: list[str], case: str) -> DataFrame:
+    """field, n (cases whose truth has it, under whatever condition), and for each condition how many are right."""
+    n = rows.groupBy("field").agg(F.count_distinct(case).alias("n"))
+    return n.join(score_pivot(rows, "field", "cond", conditions), "field")
+
+
+def stage_counts(receipts: DataFrame, key: str, text: str = "text", added: str | None = None) -> DataFrame:
+    """key, ocr_lines, fields_count, fallback_added of extracted receipts."""
+    found = sum((F.col(f).isNotNull().cast("int") for f in fixed.FIELDS), F.lit(0))
+    return receipts.select(key, F.coalesce(F.size(t.lines(F.col(text))), F.lit(0)).alias("ocr_lines"), found.alias("fields_count"), (F.size(added) if added else F.lit(0)).alias("fallback_added"))
+
+
+def confidence(chances: Column) -> Column:
+    """The mean of the emitted letters' chances; 0 without any."""
+    return F.when(F.size(chances) > 0, F.aggregate(chances, F.lit(0.0), lambda a, x: a + x) / F.size(chances)).otherwise(0.0)
+
+
 def score_by(rows: DataFrame, *keys: str) -> DataFrame:
     """keys, n_ok, n."""
     return rows.groupBy(*keys).agg(F.count_if("ok").alias("n_ok"), F.count("*").alias("n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,46 +13,82 @@ from pyspark.sql import types as T
 
 from .. import fixed
 from ..functions import text as t
+from ..functions.vectors import let
 
 MONEY_FIELDS = ("total", "deposit", "change")
 
+#: What a label cannot do without: texts that lack it are not searched.
+_NEEDS = {"total": ["合"], "deposit": ["預", "現"], "change": ["お"]}
+
+
+def _any(text: Column, parts: list[str]) -> Column:
+    out = F.contains(text, F.lit(parts[0]))
+    for p in parts[1:]:
+        out = out | F.contains(text, F.lit(p))
+    return out
+
 
 def date_of(text: Column, tail: bool = True) -> Column:
     """yyyy-mm-dd by the first pattern whose first match has a month of 1-12 and a day of 1-31.
 
-    tail: dates with separators must end at a non-digit or a time.
+    tail: dates with separators must end at a non-digit or a time.  A match is searched once; its numbers come from the match.
     """
+
+    def checked(numbers: Column) -> Column:
+        year, month, day = (F.get(numbers, F.lit(k)).try_cast("int") for k in range(3))
+        shown = F.format_string("%d-%02d-%02d", F.when(year < 100, year + 2000).otherwise(year), month, day)
+        return F.when(month.between(1, 12) & day.between(1, 31), shown)
+
     out = []
-    for pattern in fixed.DATES:
+    for pattern, needed in zip(fixed.DATES, (["年"], ["/", ".", "-"], ["."]), strict=True):
         pattern = pattern if tail else re.sub(r"\(\?=\\D.*$", "", pattern)
-        year, month, day = (t.found(text, pattern, k).try_cast("int") for k in (1, 2, 3))
-        fine = month.between(1, 12) & day.between(1, 31)
-        out.append(F.when(fine, F.format_string("%d-%02d-%02d", F.when(year < 100, year + 2000).otherwise(year), month, day)))
+        numbers = F.regexp_extract_all(F.regexp_extract(text, f"(?Ud){pattern}", 0), F.lit(r"(?Ud)(\d+)"), F.lit(1))
+        out.append(F.when(_any(text, needed), let(numbers, checked)))
     return F.coalesce(*out)
 
 
 def time_of(text: Column, check: bool = False) -> Column:
     """hh:mm with a colon, else with hour and minute signs.  check: null from hour 24 on, without another try."""
-    hour, minute = (F.when(t.found(text, fixed.TIMES[0]).isNotNull(), t.found(text, fixed.TIMES[0], k)).otherwise(t.found(text, fixed.TIMES[1], k)).try_cast("int") for k in (1, 2))
-    out = F.when(hour.isNotNull(), F.format_string("%02d:%02d", hour, minute))
-    return F.when(hour < 24, out) if check else out
+
+    def shown(numbers: Column) -> Column:
+        hour, minute = (F.get(numbers, F.lit(k)).try_cast("int") for k in (0, 1))
+        out = F.when(hour.isNotNull(), F.format_string("%02d:%02d", hour, minute))
+        return F.when(hour < 24, out) if check else out
+
+    first, second = (F.regexp_extract(text, f"(?Ud){p}", 0) for p in fixed.TIMES)
+    match = let(F.when(_any(text, [":", "："]), first).otherwise(""), lambda m: F.when((m == "") & F.contains(text, F.lit("時")), second).otherwise(m))
+    return let(F.regexp_extract_all(match, F.lit(r"(?Ud)(\d+)"), F.lit(1)), shown)
 
 
 def registration_of(text: Column) -> Column:
-    return t.found(t.unspaced(text), fixed.REGISTRATION)
+    return F.when(F.contains(text, F.lit("T")), t.found(t.unspaced(text), fixed.REGISTRATION))
 
 
 def money_of(text: Column, field: str) -> Column:
     """The amount after a field's label, on its line; else one line break may stand between."""
-    return F.coalesce(*(t.amount(t.found(text, fixed.LABELS[field] + gap + fixed.MONEY, 1)) for gap in (fixed.GAP, fixed.GAP_OR_LINE)))
+    near, far = (F.regexp_extract(text, f"(?Ud){fixed.LABELS[field]}{gap}{fixed.MONEY}", 1) for gap in (fixed.GAP, fixed.GAP_OR_LINE))
+    whole = let(near, lambda x: F.when(x != "", t.amount(x)))
+    return F.when(_any(text, _NEEDS[field]), F.coalesce(whole, t.amount(far)))
+
+
+#: Stand between the parts of a tax line while it is taken apart; a text that holds one goes another way.
+_CUT, _PART, _END = "\uf8f0", "\uf8f1", "\uf8f2"
 
 
 def tax_matches(text: Column) -> Column:
-    """All tax amounts in order, as structs of rate (null: none stated) and amt."""
-    before, after, amount = (F.regexp_extract_all(text, F.lit(f"(?Ud){fixed.TAX}"), F.lit(k)) for k in (1, 2, 3))
-    rows = F.arrays_zip(before.alias("before"), after.alias("after"), amount.alias("amt"))
-    rate = lambda x: F.coalesce(F.nullif(x["after"], F.lit("")), F.nullif(x["before"], F.lit(""))).try_cast("double")
-    return F.transform(rows, lambda x: F.struct(rate(x).alias("rate"), t.amount(x["amt"]).alias("amt")))
+    """All tax amounts in order, as structs of rate (null: none stated) and amt.
+
+    One search marks every match with its parts, and cutting at the marks gives them.
+    """
+    rate = lambda before, after: F.coalesce(F.nullif(after, F.lit("")), F.nullif(before, F.lit(""))).try_cast("double")
+    entry = lambda before, after, amount: F.struct(rate(before, after).alias("rate"), t.amount(amount).alias("amt"))
+    pattern = f"(?Ud){fixed.TAX}"
+    marked = F.regexp_replace(text, pattern, f"{_CUT}$1{_PART}$2{_PART}$3{_END}")
+    parts = F.transform(F.slice(F.split(marked, _CUT), F.lit(2), F.lit(2**31 - 2)), lambda x: F.split(F.substring_index(x, _END, 1), _PART))
+    fast = F.transform(parts, lambda p: entry(p[0], p[1], p[2]))
+    before, after, amount = (F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (1, 2, 3))
+    slow = F.transform(F.arrays_zip(before.alias("before"), after.alias("after"), amount.alias("amt")), lambda x: entry(x["before"], x["after"], x["amt"]))
+    return F.when(~F.contains(text, F.lit("税")), F.slice(slow, F.lit(1), F.lit(0))).when(_any(text, [_CUT, _PART, _END]), slow).otherwise(fast)
 
 
 def tax_sum(matches: Column) -> Column:
@@ -64,11 +101,11 @@ def tax_sum(matches: Column) -> Column:
 
 
 def tax_of(text: Column) -> Column:
-    return tax_sum(tax_matches(text))
+    return let(tax_matches(text), tax_sum)
 
 
 def _py_compact(s: str) -> str:
-    return re.sub(r"[\s\-‐‑–—―ー・.]", "", s)
+    return re.sub(fixed.COMPACT.removeprefix("(?Ud)"), "", s)
 
 
 def _py_loose(s: str) -> str:
@@ -84,60 +121,86 @@ def _likeness(form: str, part: str) -> float:
     return difflib.SequenceMatcher(None, form, part).ratio()
 
 
+def _shared(form: str, whole: str, size: int) -> list[int]:
+    """For each window of a size: how many letters it has in common with form, at most what can match."""
+    need, have, out, both = Counter(form), Counter(), [], 0
+    for i, c in enumerate(whole):
+        have[c] += 1
+        both += have[c] <= need[c]
+        if i >= size:
+            d = whole[i - size]
+            both -= have[d] <= need[d]
+            have[d] -= 1
+        if i >= size - 1:
+            out.append(both)
+    return out or [both]
+
+
+def likest_brand(whole: str, forms: list[tuple[str, str]]) -> str | None:
+    """The brand most like a window of its size (FUZZY at least; ties: earlier brand).  Letters in common bound a likeness from above."""
+    best, top = None, 0.0
+    for b, f in forms:
+        for i, both in enumerate(_shared(f, whole, len(f))):
+            part = whole[i : i + len(f)]
+            bound = 2 * both / (len(f) + len(part))
+            if bound >= fixed.FUZZY and bound > top:
+                r = _likeness(f, part)
+                if r >= fixed.FUZZY and r > top:
+                    best, top = b, r
+    return best
+
+
 def brand_fuzzy(brands: list[str]):
-    """A column function: the brand most like a window of the text (FUZZY at least; ties: earlier brand and window)."""
+    """A column function: the brand most like a window of the text; null texts cost nothing."""
     forms = [(b, _py_loose(b)) for b in brands]
 
-    def of(text: str | None) -> str | None:
-        if text is None:
-            return None
-        whole = _py_loose(text)
-        # max() keeps the first of equals: brands in their order.
-        best = {b: max(_likeness(f, whole[i : i + len(f)]) for i in range(max(1, len(whole) - len(f) + 1))) for b, f in forms}
-        top = max(best, key=best.get)
-        return top if best[top] >= fixed.FUZZY else None
-
     @F.pandas_udf(T.StringType())
     def fuzzy(texts: pd.Series) -> pd.Series:
-        return texts.map(of)
+        return texts.map(lambda x: None if x is None else likest_brand(_py_loose(x), forms))
 
     return fuzzy
 
 
 def _brand_pattern(brand: str) -> str:
-    gap = r"[\s\-‐‑–—―ー・.]*"
+    gap = fixed.COMPACT.removeprefix("(?Ud)") + "*"
     both = dict(zip(fixed.SEMI_VOICED + fixed.VOICED, fixed.VOICED + fixed.SEMI_VOICED, strict=True))
     return gap.join(f"[{c}{both[c]}]" if c in both else re.escape(c) for c in _py_compact(brand))
 
 
 def strip_brand(line: Column, brand: Column, brands: list[str]) -> Column:
     """A line without its brand's first occurrence, marks between letters and voicing marks disregarded."""
-    out = line
-    for b in reversed(brands):
-        out = F.when(brand == b, F.regexp_replace(line, f"(?Uds)^(.*?){_brand_pattern(b)}", "$1")).otherwise(out)
-    return out
+    pattern = F.try_element_at(F.create_map(*(F.lit(x) for b in dict.fromkeys(brands) for x in (b, f"(?Uds){_brand_pattern(b)}(.*)$"))), brand)
+    return F.when(brand.isNotNull(), F.regexp_replace(line, pattern, F.lit("$1"))).otherwise(line) if brands else line
 
 
-def _without_likest(line: str, brand: str) -> str:
+def without_likest(line: str, brand: str) -> str:
     """A line without the window that is most like its brand, if it is FUZZY at least and the brand has four letters."""
     form = _py_loose(brand)
-    sizes = range(max(3, len(form) - 2), len(form) + 3) if len(form) >= 4 else ()
-    cuts = [(i, i + n) for n in sizes for i in range(len(line) - n + 1)]
-    scored = {c: _likeness(form, _py_loose(line[slice(*c)])) for c in cuts}
-    best = max(scored, key=scored.get, default=None)
-    return line if best is None or scored[best] < fixed.FUZZY else line[: best[0]] + line[best[1] :]
+    if len(form) < 4:
+        return line
+    sizes = range(max(3, len(form) - 2), len(form) + 3)
+    both = _shared(form, loose, len(loose))[0] if (loose := _py_loose(line)) else 0
+    if 2 * both < fixed.FUZZY * (len(form) + both):
+        return line  # not even all of its letters would do
+    best, top = None, 0.0
+    for n in sizes:
+        for i in range(len(line) - n + 1):
+            r = _likeness(form, _py_loose(line[i : i + n]))
+            if r > top:
+                best, top = (i, i + n), r
+    return line if top < fixed.FUZZY else line[: best[0]] + line[best[1] :]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def strip_brand_fuzzy(lines: pd.Series, stripped: pd.Series, brand: pd.Series) -> pd.Series:
-    """stripped, and where that is the line as it was, the line without what is most like the brand."""
-    each = lambda a, b, name: [y if x != y or name is None else _without_likest(x, name) for x, y in zip(a, b, strict=True)]
-    return pd.Series([None if a is None else each(a, b, name) for a, b, name in zip(lines, stripped, brand, strict=True)])
+    """stripped, and where that is the line as it was, the line without what is most like the brand.  Null lines cost nothing."""
+    each = lambda a, b, name: [y if x != y else without_likest(x, name) for x, y in zip(a, b, strict=True)]
+    return pd.Series([None if a is None or name is None else each(a, b, name) for a, b, name in zip(lines, stripped, brand, strict=True)])
 
 
 def line_forms(text: Column) -> Column:
-    """A text's lines without white space."""
-    return F.transform(F.split(text, "\n"), t.unspaced)
+    """The lines with a shop sign, without white space: no other line names a branch."""
+    return F.filter(F.split(F.regexp_replace(text, r"(?Ud)[\s&&[^\n]]", ""), "\n"), lambda x: F.contains(x, F.lit("店")))
 
 
 def branch_of(stripped: Column) -> Column:
@@ -145,7 +208,7 @@ def branch_of(stripped: Column) -> Column:
 
     def one(line: Column) -> Column:
         whole = F.regexp_replace(line, f"(?Ud){fixed.TOWN_FIRST}", "")
-        return F.when(~F.contains(whole, F.lit("対象")), t.long_mark(t.found(whole, fixed.BRANCH, 1)))
+        return F.when(F.contains(line, F.lit("店")) & ~F.contains(line, F.lit("対象")), let(F.regexp_extract(whole, f"(?Ud){fixed.BRANCH}", 1), lambda x: F.when(x != "", t.long_mark(x))))
 
     return F.get(F.filter(F.transform(stripped, one), lambda x: x.isNotNull()), F.lit(0))
 
@@ -158,30 +221,49 @@ def plain_fields(text: Column) -> dict[str, Column]:
     }
 
 
-def derived_total() -> Column:
+def derived_total(total: Column, deposit: Column, change: Column) -> Column:
     """A total that isn't printed follows from what was paid and given back."""
-    return F.coalesce("total", F.when(F.col("deposit") - F.col("change") > 0, F.col("deposit") - F.col("change")))
+    return F.coalesce(total, F.when(deposit - change > 0, deposit - change))
+
+
+def _unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns on the way that df doesn't have."""
+    mark = "_"
+    while any(c.startswith(mark) for c in df.columns):
+        mark += "_"
+    return [mark + n for n in names]
 
 
-def with_fields(df: DataFrame, text: str, brands: list[str], fuzzy: bool = False) -> DataFrame:
-    """df with a column a field, from normalised text.  The brand is a column of its own before other fields use it."""
-    d = df.withColumn("_loose", t.loose(F.col(text))).withColumn("_brand", brand_exact(F.col("_loose"), brands)).drop("_loose")
+def with_fields(df: DataFrame, text: str, brands: list[str], fuzzy: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """df with a column a field, from normalised text.  Columns of df that are named like a field are replaced by it.
+
+    The brand is a column of its own before other fields use it.  Python steps get the texts that need them; for
+    all other rows they get nulls.  keep: the columns of df to keep (all).
+    """
+    keep = [c for c in (df.columns if keep is None else keep) if c not in fixed.FIELDS]
+    loose, exact, brand, lines, stripped, whole = _unused(df, "loose", "exact", "brand", "lines", "stripped", "text")
+    d = df.withColumn(whole, F.col(text)).select(*keep, whole)
+    d = d.withColumn(loose, t.loose(F.col(whole))).withColumn(exact, brand_exact(F.col(loose), brands)).drop(loose)
     if fuzzy:
-        # A Python step runs on the rows that need it and no others.
-        rest = d.where(F.col("_brand").isNull()).withColumn("_brand", brand_fuzzy(brands)(text))
-        d = d.where(F.col("_brand").isNotNull()).unionByName(rest)
-    d = d.withColumn("_lines", line_forms(F.col(text)))
-    d = d.withColumn("_stripped", F.transform("_lines", lambda x: strip_brand(x, F.col("_brand"), brands)))
+        d = d.withColumn(brand, brand_fuzzy(brands)(F.when(F.col(exact).isNull(), F.col(whole)))).withColumn(brand, F.coalesce(exact, brand))
+    else:
+        d = d.withColumnRenamed(exact, brand)
+    d = d.withColumn(lines, line_forms(F.col(whole)))
+    d = d.withColumn(stripped, F.transform(lines, lambda x: strip_brand(x, F.col(brand), brands)))
     if fuzzy:
-        d = d.withColumn("_stripped", strip_brand_fuzzy("_lines", "_stripped", "_brand"))
-    made = {"store_brand": F.coalesce("_brand", t.found(F.col(text), fixed.CAPITALS)), "store_branch": branch_of(F.col("_stripped"))}
-    return d.withColumns(made | plain_fields(F.col(text))).withColumn("total", derived_total()).drop("_brand", "_lines", "_stripped")
+        same = F.exists(F.zip_with(lines, stripped, lambda a, b: a == b), lambda x: x)
+        again = F.when(F.col(brand).isNotNull() & same, F.col(lines))
+        d = d.withColumn(stripped, F.coalesce(strip_brand_fuzzy(again, stripped, brand), stripped))
+    d = d.select(*keep, whole, brand, *(c.alias(f) for f, c in plain_fields(F.col(whole)).items()), branch_of(F.col(stripped)).alias("store_branch"), F.when(F.col(brand).isNull(), t.found(F.col(whole), fixed.CAPITALS)).alias("store_brand"))
+    named = {"store_brand": F.coalesce(brand, "store_brand").alias("store_brand"), "total": derived_total(F.col("total"), F.col("deposit"), F.col("change")).alias("total")}
+    return d.select(*keep, *(named.get(f, F.col(f)) for f in fixed.FIELDS))
 
 
 def extract_fields(df: DataFrame, text: str = "text", extra_brands: list[str] | None = None, normalise: bool = True, fuzzy: bool = True) -> DataFrame:
     """df with a column a field.  normalise: NFKC first; fuzzy: look for misread brands where none is exact."""
-    d = df.withColumn("_text", t.repaired(t.nfkc(text) if normalise else F.col(text)))
-    return with_fields(d, "_text", [*fixed.BRANDS, *(extra_brands or [])], fuzzy).drop("_text")
+    (whole,) = _unused(df, "whole")
+    d = df.withColumn(whole, t.repaired(t.normalised(F.col(text)) if normalise else F.col(text)))
+    return with_fields(d, whole, [*fixed.BRANDS, *(extra_brands or [])], fuzzy, df.columns)
 
 
 def legacy_fields(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..functions.vectors import let
 
 
 def to_text(boxes: Column) -> Column:
@@ -56,3 +57,34 @@ def receipt_height(rows: Column) -> Column:
     """rows: array<struct<kind, size, px>>; gaps have their pixels, dashes and text lines a share of their size."""
     height = lambda r: F.when(r["kind"] == "gap", r["px"]).when(r["kind"] == "dash", F.lit(int(fixed.BASE_SIZE * fixed.DASH_HEIGHT))).otherwise(F.floor(r["size"] * F.lit(fixed.LINE_HEIGHT))).cast("bigint")
     return F.aggregate(F.transform(rows, height), F.lit(2 * fixed.MARGIN).cast("bigint"), lambda a, x: a + x)
+
+
+# The least a detected box must have.
+SHORT_SIDE, UNCLIPPED_SIDE, SCORE = 3, 5, 0.45
+
+
+def corners(points: Column) -> Column:
+    """points: four of struct<x, y>.  Top left, top right, bottom right, bottom left: by x, the left two and the right two by y."""
+    by_x = F.array_sort(F.transform(points, lambda p, i: F.struct(p["x"].alias("x"), i.alias("i"), p["y"].alias("y"))))
+    point = lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))
+    return let(by_x, lambda s: F.array(*(point(x) for x in (_upper(s[0], s[1]), _upper(s[2], s[3]), _lower(s[2], s[3]), _lower(s[0], s[1])))))
+
+
+def _upper(a: Column, b: Column) -> Column:
+    return F.when(b["y"] > a["y"], a).otherwise(b)
+
+
+def _lower(a: Column, b: Column) -> Column:
+    return F.when(b["y"] > a["y"], b).otherwise(a)
+
+
+def short_side(points: Column) -> Column:
+    """The lower of a box's width and height, its corners in order."""
+    side = lambda a, b: F.sqrt((a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"]))
+    return let(points, lambda p: F.least(side(p[0], p[1]), side(p[0], p[3])))
+
+
+def valid(points: Column, score: Column, unclipped: Column | None = None) -> Column:
+    """Boxes that are large enough (also when grown to the letters' edges) and sure enough."""
+    fine = (short_side(points) >= SHORT_SIDE) & (score >= SCORE)
+    return fine if unclipped is None else fine & (short_side(unclipped) >= UNCLIPPED_SIDE)

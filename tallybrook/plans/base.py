@@ -60,6 +60,18 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("k", synth.receipt_text(parts).alias("text"))
 
 
+def misread(receipts: DataFrame) -> DataFrame:
+    """rendered() as a poor reading gives it, by k: wide digits and signs; a wrong letter in the brand; brand and branch on one
+    line with a wrong letter, and misread labels; or another shop's name in capitals.  NAMED tells the last."""
+    k, x = F.col("k"), F.col("text")
+    wide = F.translate(x, "0123456789¥,/:()", "０１２３４５６７８９￥，／：（）")
+    wrong = F.regexp_replace(x, "^(.).", "$1◇")
+    labels = F.replace(F.replace(x, F.lit("合計"), F.lit("合十")), F.lit("額"), F.lit("额"))
+    joined = F.regexp_replace(labels, r"^(.).([^\n]*)\n", "$1◇$2")
+    capitals = F.regexp_replace(x, r"^[^\n]*", "TAKARA")
+    return receipts.withColumn("text", F.when((k % 4 == 0) & (k % 7 == 6), capitals).when(k % 4 == 1, wide).when(k % 4 == 2, wrong).when(k % 4 == 3, joined).otherwise(x))
+
+
 #: i: items; r: amounts; f: all fields that a text prints.
 SQL = f"""
 WITH i AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_partkey) AS line, floor(l_extendedprice)::BIGINT AS yen, CASE WHEN l_tax < 0.05 THEN 8 ELSE 10 END AS rate FROM lineitem),
@@ -72,3 +84,5 @@ f AS (SELECT r.k, ([{", ".join(f"'{s}'" for s in SHOPS)}])[r.k % {len(SHOPS)} +
         total, t8 + t10 AS tax, CASE WHEN r.k % 3 <> 0 THEN deposit END AS deposit, CASE WHEN r.k % 3 <> 0 THEN change END AS change
       FROM r JOIN orders ON r.k = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
 """
+#: The brand that misread() leaves.
+NAMED = "CASE WHEN k % 4 = 0 AND k % 7 = 6 THEN 'TAKARA' ELSE store_brand END AS store_brand"

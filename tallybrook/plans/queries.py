@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -32,9 +32,13 @@ def query(sql: str | None = None):
 # Fields from printed text
 
 
-@query(base.SQL + f"SELECT k, {', '.join(fixed.FIELDS)} FROM f")
+_SEEN = [base.NAMED if f == "store_brand" else f for f in fixed.FIELDS]
+
+
+@query(base.SQL + f"SELECT k, {', '.join(_SEEN)} FROM f")
 def q_extract_fields(spark, sf_dir):
-    return extract.with_fields(base.rendered(spark, sf_dir), "text", fixed.BRANDS + base.SHOPS).select("k", *fixed.FIELDS)
+    """The whole extraction, of receipts that were read badly: normal forms, repairs, likest brands, stripping, capitals."""
+    return extract.extract_fields(base.misread(base.rendered(spark, sf_dir)), "text", base.SHOPS).select("k", *fixed.FIELDS)
 
 
 def _one_field(field: str) -> None:
@@ -53,7 +57,9 @@ for _f in fixed.FIELDS:
 def q_brand_join(spark, sf_dir):
     """Brands as a table: its few rows (checked) go to every task as one, and a text's is the first that it holds."""
     brands = spark.createDataFrame(list(enumerate(fixed.BRANDS + base.SHOPS)), "ord int, brand string")
-    one = brands.limit(1000).agg(F.array_sort(F.collect_list(F.struct("ord", t.loose(F.col("brand")).alias("form"), "brand"))).alias("all"))
+    if brands.count() > labeling.MOST_PROTOTYPES:
+        raise ValueError(f"more than {labeling.MOST_PROTOTYPES} brands")
+    one = brands.agg(F.array_sort(F.collect_list(F.struct("ord", t.loose(F.col("brand")).alias("form"), "brand"))).alias("all"))
     d = base.rendered(spark, sf_dir).select("k", t.loose(F.col("text")).alias("whole")).crossJoin(F.broadcast(one))
     return d.select("k", F.get(F.filter("all", lambda b: F.contains(F.col("whole"), b["form"])), F.lit(0))["brand"].alias("brand"))
 
@@ -164,11 +170,26 @@ def q_nfkc(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", t.nfkc("text").alias("text"))
 
 
-@query()
+@query("SELECT p_partkey, 'ガ ' || p_partkey || '¥' || p_name AS text FROM part")
+def q_nfkc_width(spark, sf_dir):
+    """Wide digits, half-width kana and signs, beside what stays."""
+    wide = F.concat(F.lit("ｶﾞ　"), F.translate(F.col("p_partkey").cast("string"), "0123456789", "０１２３４５６７８９"), F.lit("￥"), "p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", t.normalised(wide).alias("text"))
+
+
+@query(base.SQL + "SELECT k, store_brand AS brand FROM f")
 def q_brand_fuzzy(spark, sf_dir):
-    """A letter of the shop's name misread: brands by similarity."""
-    d = base.rendered(spark, sf_dir).select("k", F.regexp_replace(F.split_part("text", F.lit("\n"), F.lit(1)), "^(..).", "$1X").alias("name"))
-    return d.select("k", extract.brand_fuzzy(base.SHOPS)("name").alias("brand"))
+    """A letter of the shop's name misread: brands by similarity, in whole texts."""
+    d = base.rendered(spark, sf_dir).select("k", F.regexp_replace("text", "^(.).", "$1◇").alias("text"))
+    return d.select("k", extract.brand_fuzzy(fixed.BRANDS + base.SHOPS)("text").alias("brand"))
+
+
+@query("SELECT c_custkey, 'カード' || c_custkey || '-x サービス' AS mark, CASE WHEN c_custkey % 8 = 1 THEN '12%' WHEN c_custkey % 8 = 3 THEN '38%' WHEN c_custkey % 8 = 5 THEN '62%' WHEN c_custkey % 8 = 7 THEN '88%' ELSE (c_custkey % 8 * 12.5)::BIGINT || '%' END AS share FROM customer")
+def q_marks_and_shares(spark, sf_dir):
+    """Hyphens between katakana, and shares as whole per cents, halves to even."""
+    c = F.col("c_custkey")
+    mark = t.long_mark(F.concat(F.lit("カ-ド"), c.cast("string"), F.lit("-x サ-ビス")))
+    return table(spark, sf_dir, "customer").select("c_custkey", mark.alias("mark"), t.percent(c % 8 / 8).alias("share"))
 
 
 # Layout
@@ -239,15 +260,13 @@ def q_threshold_sweep(spark, sf_dir):
 @query(_VECTORS + "SELECT * FROM (SELECT dims, vec_id, p.label, round(list_cosine_similarity(e.emb[:dims], p.emb[:dims]), 6) AS score FROM e, p, (SELECT unnest([32, 16, 8]) AS dims) QUALIFY row_number() OVER (PARTITION BY dims, vec_id ORDER BY list_cosine_similarity(e.emb[:dims], p.emb[:dims]) DESC, proto_idx) = 1)")
 def q_prefix_dims(spark, sf_dir):
     e, protos = _vectors(spark, sf_dir)
-    out = [labeling.nearest(e, protos, "vec_id", dims=k).select(F.lit(k).alias("dims"), "vec_id", "label", F.round("score", 6).alias("score")) for k in (32, 16, 8)]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    return labeling.nearest_by_dims(e, protos, [32, 16, 8], "vec_id").select("dims", "vec_id", "label", F.round("score", 6).alias("score"))
 
 
 @query(_VECTORS + ", h AS (SELECT vec_id, label FROM (SELECT vec_id, proto_idx, p.label, list_cosine_similarity(e.emb[:32], p.emb[:32]) AS score FROM e, p) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, proto_idx) = 1) SELECT count(*) AS n, count(*) FILTER (b.label = h.label) AS agree, count(*) FILTER (b.label = h.label) / count(*) AS rate FROM b JOIN h USING (vec_id)")
 def q_label_agreement(spark, sf_dir):
     e, protos = _vectors(spark, sf_dir)
-    a, b = labeling.nearest(e, protos, "vec_id"), labeling.nearest(e, protos, "vec_id", dims=32)
-    d = a.select("vec_id", "label").join(b.select("vec_id", F.col("label").alias("other")), "vec_id")
+    d = labeling.nearest_by_dims(e, protos, [64, 32], "vec_id").groupBy("vec_id").agg(F.max(F.when(F.col("dims") == 64, F.col("label"))).alias("label"), F.max(F.when(F.col("dims") == 32, F.col("label"))).alias("other"))
     agree = F.count_if(F.col("label") == F.col("other"))
     return d.agg(F.count("*").alias("n"), agree.alias("agree"), (agree / F.count("*")).alias("rate"))
 
@@ -346,11 +365,13 @@ x AS (SELECT *, CASE WHEN field = 'total' AND k % 7 = 0 THEN 0 WHEN field = 'tax
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Truth and predictions side by side, so that texts are read once."""
     k = F.col("k")
     fields = ["total", "tax", "deposit", "change", "store_branch"]
-    truth = extract.with_fields(base.rendered(spark, sf_dir), "text", fixed.BRANDS + base.SHOPS).select("k", *fields)
+    truth = extract.with_fields(base.rendered(spark, sf_dir), "text", fixed.BRANDS + base.SHOPS)
     wrong = {"total": F.when(k % 7 != 0, F.col("total")), "tax": F.when(k % 11 == 0, F.col("tax") + 1).otherwise(F.col("tax")), "change": F.when(k % 5 != 0, F.col("change")), "store_branch": F.concat(F.lit("X"), "store_branch")}
-    rows = evaluate.facts(truth, truth.withColumns(wrong), ["k"], fields)
+    both = truth.select("k", F.struct(*fields).alias("want"), F.struct(*(wrong.get(f, F.col(f)).alias(f) for f in fields)).alias("have"))
+    rows = evaluate.facts_in_row(both, ["k"], "want", "have", fields)
     return rows.withColumns({"suite": F.concat(F.lit("s"), k % 3), "cond": F.element_at(F.array(*map(F.lit, _CONDITIONS)), (k % 4 + 1).cast("int"))})
 
 
@@ -384,6 +405,78 @@ def q_suite_order(spark, sf_dir):
     return evaluate.first_seen(_scored(spark, sf_dir), "suite", "k")
 
 
+@query(_FACTS + "SELECT field, count(*) AS n, sum(good)::BIGINT AS n_ok, CASE field WHEN 'store_branch' THEN 1 WHEN 'total' THEN 5 WHEN 'tax' THEN 6 WHEN 'deposit' THEN 7 ELSE 8 END::INT AS ordinal FROM x GROUP BY field")
+def q_field_order(spark, sf_dir):
+    return evaluate.in_field_order(evaluate.score_by(_scored(spark, sf_dir), "field"))
+
+
+@query(_FACTS + ", y AS (SELECT k, expected, CASE WHEN field = 'tax' THEN 'tax: ' || expected || ' -> ' || (expected::BIGINT + 1) ELSE field || ': ' || expected || ' -> -' END AS line FROM x WHERE good = 0) SELECT k, string_agg(line, '; ' ORDER BY line) AS wrong FROM y GROUP BY k")
+def q_wrong_fields(spark, sf_dir):
+    return evaluate.wrong_fields(_scored(spark, sf_dir), "k")
+
+
+@query(_FACTS + ", n AS (SELECT field, count(DISTINCT k) AS n FROM x GROUP BY field) SELECT n.field, n, " + ", ".join(f"count(*) FILTER (good = 1 AND cond = '{c}') AS {c}" for c in _CONDITIONS) + " FROM n JOIN x ON n.field = x.field GROUP BY ALL")
+def q_field_by_condition(spark, sf_dir):
+    return evaluate.field_by_condition(_scored(spark, sf_dir), _CONDITIONS, "k")
+
+
+@query("SELECT s_suppkey AS case_id, cond, CASE cond WHEN 'clean' THEN 'c' || s_suppkey || '.png' ELSE 'c' || s_suppkey || '_' || cond || '.jpg' END AS image FROM supplier, (SELECT unnest(['clean', 'light', 'medium', 'heavy']) AS cond)")
+def q_by_condition(spark, sf_dir):
+    """Clean and degraded images of each case; degraded ones of unknown cases don't count."""
+    cases = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("case_id"), F.concat(F.lit("c"), F.col("s_suppkey"), F.lit(".png")).alias("image"))
+    more = cases.unionByName(spark.createDataFrame([(-1, "none.png")], "case_id long, image string"))
+    return evaluate.by_condition(cases, synth.degradations(more.select("image"), more))
+
+
+@query(base.SQL + "SELECT k, 2::INT AS ocr_lines, 3::INT AS fields_count, 1::INT AS fallback_added FROM r")
+def q_stage_counts(spark, sf_dir):
+    d = base.amounts(spark, sf_dir).select("k", "total", "deposit", "change", F.lit("合計\n \n現金").alias("text"), F.array(F.lit("change")).alias("added"))
+    absent = {f: F.lit(None).cast("string") for f in fixed.FIELDS if f not in extract.MONEY_FIELDS}
+    return evaluate.stage_counts(d.withColumns(absent), "k", added="added")
+
+
+@query("SELECT o_orderkey AS k, o_orderkey % 3 <> 1 AS narrow, o_orderkey % 2 = 0 AS wide FROM orders")
+def q_two_sided_branch(spark, sf_dir):
+    """A branch may be longer in front; the labeller's may be shorter too."""
+    k = F.col("o_orderkey")
+    got = F.when(k % 3 == 0, "本店").when(k % 3 == 1, "別館").otherwise("駅前本店")
+    lenient = evaluate.is_lenient_match(F.lit("store_branch"), F.when(k % 2 == 0, "本店").otherwise("別店"), F.lit("駅前本店"))
+    return table(spark, sf_dir, "orders").select(k.alias("k"), evaluate.is_match(F.lit("store_branch"), got, F.lit("本店")).alias("narrow"), lenient.alias("wide"))
+
+
+@query("SELECT event_id, 'tl,tr,br,bl' AS corners, round(least(10 + event_id % 7, (4 + event_id % 3)::DOUBLE), 6) AS side, event_id % 10 >= 5 AND event_id % 3 > 0 AS fine FROM events")
+def q_boxes(spark, sf_dir):
+    """Corners in any order; boxes too small or unsure."""
+    e = F.col("event_id")
+    width, height = (10 + e % 7).cast("double"), (4 + e % 3).cast("double")
+    at = {"tl": (F.lit(5.0), F.lit(3.0)), "tr": (width + 5, F.lit(3.0)), "br": (width + 5, height + 3), "bl": (F.lit(5.0), height + 3)}
+    points = F.array(*(F.struct(at[n][0].alias("x"), at[n][1].alias("y")) for n in ("br", "tl", "bl", "tr")))
+    d = table(spark, sf_dir, "events").select("event_id", layout.corners(points).alias("c"), width.alias("w"), height.alias("h"))
+    name = lambda p: F.when((p["x"] == 5) & (p["y"] == 3), "tl").when(p["x"] == 5, "bl").when(p["y"] == 3, "tr").otherwise("br")
+    unclipped = F.transform("c", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    return d.select("event_id", F.array_join(F.transform("c", name), ",").alias("corners"), F.round(layout.short_side(F.col("c")), 6).alias("side"), layout.valid(F.col("c"), (F.col("event_id") % 10) / 11, unclipped).alias("fine"))
+
+
+@query("SELECT p_type AS model, 'v' || (p_size % 2) AS variant, size, size / sum(size) OVER () AS share FROM (SELECT p_type, p_size, sum(p_partkey)::BIGINT AS size FROM (SELECT p_type, p_size % 2 AS p_size, p_partkey FROM part) GROUP BY ALL) WHERE p_size = length(p_type) % 2")
+def q_selected_models(spark, sf_dir):
+    models = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("model"), F.concat(F.lit("v"), F.col("p_size") % 2).alias("variant")).agg(F.sum("p_partkey").alias("size"))
+    choice = models.select("model").distinct().withColumn("variant", F.concat(F.lit("v"), F.length("model") % 2))
+    return bench.selected(models, choice)
+
+
+@query("SELECT s_name AS part, CASE WHEN s_suppkey % 4 = 0 THEN 'other-' || s_suppkey ELSE 'own-' || s_suppkey END AS path FROM supplier")
+def q_swapped_models(spark, sf_dir):
+    d = table(spark, sf_dir, "supplier")
+    config = d.select(F.col("s_name").alias("part"), F.concat(F.lit("own-"), "s_suppkey").alias("path"))
+    return bench.swapped(config, d.where("s_suppkey % 4 = 0").select(F.col("s_name").alias("part"), F.concat(F.lit("other-"), "s_suppkey").alias("path")))
+
+
+@query("SELECT p_partkey FROM part ORDER BY md5('7:' || p_partkey), p_partkey LIMIT 47")
+def q_sampled_rows(spark, sf_dir):
+    """Calibration rows: a seeded sample without replacement."""
+    return bench.sampled(table(spark, sf_dir, "part").select("p_partkey"), 47, 7, "p_partkey")
+
+
 _ABC = """
 WITH x AS (SELECT 's' || o_orderkey % 3 AS suite, o_orderkey AS k, o_orderkey % 5 <> 0 AS current_ok, o_orderkey % 10 = 0 AS current_null, o_orderkey % 7 <> 0 AS labeler_ok, o_orderkey % 14 = 0 AS labeler_null FROM orders)
 SELECT suite, count(*) FILTER (current_ok) AS c_ok, count(*) FILTER (current_ok AND NOT labeler_ok AND labeler_null) AS broken_missing, count(*) FILTER (current_ok AND NOT labeler_ok AND NOT labeler_null) AS broken_wrong,
@@ -438,14 +531,14 @@ def q_markdown_table(spark, sf_dir):
 @query(base.SQL + "SELECT k, array_to_string(list_sort(list_distinct([t8, t10, t8 + t10])), ',') AS accepted, true AS is_match FROM r")
 def q_tax_acceptables(spark, sf_dir):
     both = F.array("t8", "t10")
-    ok = F.array_sort(F.array_union(both, F.array(F.col("t8") + F.col("t10"))))
+    ok = readers.accepted_taxes(both)
     d = base.amounts(spark, sf_dir).select("k", ok.alias("ok"), (F.col("t8") + F.col("t10")).alias("got"))
     return d.select("k", F.concat_ws(",", F.col("ok").cast("array<string>")).alias("accepted"), evaluate.is_match(F.lit("tax"), F.col("got"), F.col("got"), F.col("ok")).alias("is_match"))
 
 
 @query(base.SQL + "SELECT store_brand FROM f GROUP BY store_brand")
 def q_distinct_brands(spark, sf_dir):
-    d = base.rendered(spark, sf_dir).select(F.split_part("text", F.lit("\n"), F.lit(1)).alias("store_brand"))
+    d = extract.with_fields(base.rendered(spark, sf_dir), "text", fixed.BRANDS + base.SHOPS).select("store_brand")
     return d.distinct().orderBy("store_brand")
 
 
@@ -483,10 +576,17 @@ def q_strength_cross(spark, sf_dir):
     return synth.degradations(table(spark, sf_dir, "part").select(F.col("p_name").alias("image")).distinct())
 
 
-@query("SELECT p_partkey, s_suppkey AS case_id FROM part LEFT JOIN supplier ON p_partkey = s_suppkey * 3")
+@query("SELECT 'i' || p_partkey || '.png' AS image, strength, 'i' || p_partkey || '_' || strength || '.jpg' AS output, s_suppkey AS case_id FROM part CROSS JOIN (SELECT unnest(['light', 'medium', 'heavy']) AS strength) LEFT JOIN supplier ON p_partkey = s_suppkey * 3")
 def q_manifest_left_join(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 3).alias("p_partkey"), F.col("s_suppkey").alias("case_id"))
-    return table(spark, sf_dir, "part").select("p_partkey").join(s, "p_partkey", "left")
+    """Images at every strength, with their cases where the manifest has them."""
+    name = lambda k: F.concat(F.lit("i"), k, F.lit(".png")).alias("image")
+    manifest = table(spark, sf_dir, "supplier").select(name(F.col("s_suppkey") * 3), F.col("s_suppkey").alias("case_id"))
+    return synth.degradations(table(spark, sf_dir, "part").select(name(F.col("p_partkey"))), manifest)
+
+
+@query("SELECT p_partkey, ('0x' || substr(sha256('42:' || p_name || ':heavy'), 1, 12))::BIGINT AS seed FROM part")
+def q_degradation_seed(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", synth.degradation_seed(F.col("p_name"), F.lit("heavy")).alias("seed"))
 
 
 @query("SELECT (['conv', 'super', 'dining', 'service'])[o_orderkey % 4 + 1] AS template, count(*) AS n, count(*) AS n_ok FROM orders GROUP BY 1")
@@ -530,14 +630,15 @@ def q_token_percentiles(spark, sf_dir):
     return d.select("p50", "p95", F.round("p99", 6).alias("p99"), "max", "limit", F.round("cut", 9).alias("cut"))
 
 
-@query("SELECT l_orderkey, coalesce(avg(l_discount) FILTER (l_returnflag <> 'N'), 0) AS confidence FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey, round(coalesce(avg(l_discount) FILTER (l_returnflag <> 'N'), 0), 9) AS confidence FROM lineitem GROUP BY l_orderkey")
 def q_mean_confidence(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.coalesce(F.avg(F.when(F.col("l_returnflag") != "N", F.col("l_discount"))), F.lit(0.0)).alias("confidence"))
+    chances = F.collect_list(F.when(F.col("l_returnflag") != "N", F.col("l_discount")))  # of one text
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(chances.alias("c")).select("l_orderkey", F.round(evaluate.confidence(F.col("c")), 9).alias("confidence"))
 
 
 @query("SELECT l_orderkey, median(l_quantity) AS tilt, abs(median(l_quantity)) > 15 AS rejected FROM lineitem GROUP BY l_orderkey")
 def q_median_tilt(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.median("l_quantity").alias("tilt")).withColumn("rejected", F.abs("tilt") > fixed.TILT)
+    return bench.tilt(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_quantity", fixed.TILT)
 
 
 _QUALITY = """
@@ -571,5 +672,4 @@ def q_suite_union(spark, sf_dir):
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS r FROM lineitem) WHERE r <= 2")
 def q_top_lines(spark, sf_dir):
     """The two dearest lines of each receipt."""
-    rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber"))
-    return table(spark, sf_dir, "lineitem").withColumn("r", rank).where("r <= 2").select("l_orderkey", "l_linenumber", "l_partkey")
+    return bench.top(table(spark, sf_dir, "lineitem"), "l_orderkey", 2, F.desc("l_extendedprice"), F.col("l_linenumber")).select("l_orderkey", "l_linenumber", "l_partkey")

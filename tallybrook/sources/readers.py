@@ -31,13 +31,25 @@ def case_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CASE).option("multiLine", True).json(path).withColumn("file", t.base_name(F.input_file_name()))
 
 
+def accepted_taxes(taxes: Column) -> Column:
+    """Every tax that counts as right: each rate's, and their sum."""
+    total = F.aggregate(taxes, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return F.array_sort(F.array_union(taxes, F.array(total)))
+
+
+def with_cases(images: DataFrame, cases: DataFrame, case: str = "case_id") -> DataFrame:
+    """images: image.  Joined with the documents by the case that starts both names, up to the first underscore; a case without a document fails."""
+    d = images.withColumn(case, F.split_part("image", F.lit("_"), F.lit(1))).join(cases.withColumn("_there", F.lit(True)), case, "left")
+    gone = F.raise_error(F.concat(F.lit("no document of "), F.col(case)))
+    return d.withColumn(case, F.when(F.col("_there").isNull(), gone.cast("string")).otherwise(F.col(case))).drop("_there")
+
+
 def case_truth(cases: DataFrame) -> DataFrame:
     """Fields of case documents that can be scored.  tax_ok: every accepted tax, of rates with something taxable, and their sum."""
     taxed = F.transform(F.filter("tax_summary.rates", lambda r: r["taxable_amount_yen"] > 0), lambda r: r["tax_amount_yen"])
-    total = F.aggregate(taxed, F.lit(0).cast("bigint"), lambda a, x: a + x)
     number = F.col("invoice_profile.registration_number")
     return cases.select(
-        "case_id", F.col("totals.total_yen").alias("total"), F.when(F.size(taxed) > 0, F.array_sort(F.array_union(taxed, F.array(total)))).alias("tax_ok"),
+        "case_id", F.col("totals.total_yen").alias("total"), F.when(F.size(taxed) > 0, accepted_taxes(taxed)).alias("tax_ok"),
         F.col("payment.cash_received_yen").alias("deposit"), F.col("payment.change_yen").alias("change"),
         F.when(F.col("invoice_profile.registration_number_printed") & (number != ""), number).alias("registration_number"), F.nullif("store_identity.branch", F.lit("")).alias("store_branch"),
     )

@@ -40,3 +40,18 @@ def tensors(rows: DataFrame, folder: str) -> None:
                     out.write(data)
 
     rows.select("stem", "content", "shape", "dtype").foreachPartition(put)
+
+
+def images(rows: DataFrame, folder: str) -> None:
+    """name, content: a file each, through a file system that all executors share."""
+
+    def put(part):
+        from pyarrow import fs
+
+        files, path = fs.FileSystem.from_uri(folder)
+        files.create_dir(path, recursive=True)
+        for r in part:
+            with files.open_output_stream(f"{path}/{r['name']}") as out:
+                out.write(bytes(r["content"]))
+
+    rows.select("name", "content").where("content IS NOT NULL").foreachPartition(put)
