@@ -121,14 +121,14 @@ def _likeness(form: str, part: str) -> float:
     return difflib.SequenceMatcher(None, form, part).ratio()
 
 
-def _shared(form: str, whole: str, size: int) -> list[int]:
+def _shared(form: str, letters: list[str] | str, size: int) -> list[int]:
     """For each window of a size: how many letters it has in common with form, at most what can match."""
     need, have, out, both = Counter(form), Counter(), [], 0
-    for i, c in enumerate(whole):
+    for i, c in enumerate(letters):
         have[c] += 1
         both += have[c] <= need[c]
         if i >= size:
-            d = whole[i - size]
+            d = letters[i - size]
             both -= have[d] <= need[d]
             have[d] -= 1
         if i >= size - 1:
@@ -138,8 +138,10 @@ def _shared(form: str, whole: str, size: int) -> list[int]:
 
 def likest_brand(whole: str, forms: list[tuple[str, str]]) -> str | None:
     """The brand most like a window of its size (FUZZY at least; ties: earlier brand).  Letters in common bound a likeness from above."""
-    best, top = None, 0.0
+    best, top, letters = None, 0.0, set(whole)
     for b, f in forms:
+        if 2 * sum(map(letters.__contains__, f)) < fixed.FUZZY * (len(f) + min(len(f), len(whole))):
+            continue
         for i, both in enumerate(_shared(f, whole, len(f))):
             part = whole[i : i + len(f)]
             bound = 2 * both / (len(f) + len(part))
@@ -179,15 +181,17 @@ def without_likest(line: str, brand: str) -> str:
     if len(form) < 4:
         return line
     sizes = range(max(3, len(form) - 2), len(form) + 3)
-    both = _shared(form, loose, len(loose))[0] if (loose := _py_loose(line)) else 0
-    if 2 * both < fixed.FUZZY * (len(form) + both):
-        return line  # not even all of its letters would do
+    letters = [_py_loose(c) for c in line]  # a mark has none
     best, top = None, 0.0
     for n in sizes:
-        for i in range(len(line) - n + 1):
-            r = _likeness(form, _py_loose(line[i : i + n]))
-            if r > top:
-                best, top = (i, i + n), r
+        if n > len(line):
+            break
+        for i, both in enumerate(_shared(form, letters, n)):
+            bound = 2 * both / (len(form) + both)  # a window has as many letters as it shares, at least
+            if bound >= fixed.FUZZY and bound > top:
+                r = _likeness(form, "".join(letters[i : i + n]))
+                if r > top:
+                    best, top = (i, i + n), r
     return line if top < fixed.FUZZY else line[: best[0]] + line[best[1] :]
 
 

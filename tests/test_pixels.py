@@ -160,3 +160,24 @@ def test_misread_brands_by_bounds_are_those_of_a_full_search():
         best = {n: max(difflib.SequenceMatcher(None, f, whole[i : i + len(f)]).ratio() for i in range(max(1, len(whole) - len(f) + 1))) for n, f in forms}
         top = max(best, key=best.get)
         assert extract.likest_brand(whole, forms) == (top if best[top] >= fixed.FUZZY else None)
+
+
+def test_stripping_by_bounds_is_that_of_a_full_search():
+    import difflib
+    import random
+
+    def plain(line, brand):
+        form = extract._py_loose(brand)
+        cuts = [(i, i + n) for n in (range(max(3, len(form) - 2), len(form) + 3) if len(form) >= 4 else ()) for i in range(len(line) - n + 1)]
+        scored = {c: difflib.SequenceMatcher(None, form, extract._py_loose(line[slice(*c)])).ratio() for c in cuts}
+        best = max(scored, key=scored.get, default=None)
+        return line if best is None or scored[best] < fixed.FUZZY else line[: best[0]] + line[best[1] :]
+
+    rng = random.Random(5)
+    for _ in range(150):
+        brand = rng.choice(fixed.BRANDS)
+        b = list(brand)
+        for _ in range(rng.randint(0, 2)):
+            b[rng.randrange(len(b))] = rng.choice("xア店ー・")
+        line = "".join(rng.choice("aーイ店") for _ in range(rng.randint(0, 6))) + "".join(b) + rng.choice(["", "本町店", "・東店"])
+        assert extract.without_likest(line, brand) == plain(line, brand)
