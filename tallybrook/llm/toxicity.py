@@ -49,8 +49,8 @@ MARGIN = math.log(3)
 _START, _END = "\x02", "\x03"
 
 Counts = dict[str, dict[str, float]]
-#: A text's words, and how often it has each.
-Bag = Counter[bytes]
+#: A text's different words, a space between them, and how often it has each: little memory for many texts.
+Bag = tuple[bytes, np.ndarray]
 
 
 def _spelling(word: bytes) -> list[tuple[str, str]]:
@@ -116,7 +116,7 @@ class Model:
 
     def of_bag(self, bag: Bag) -> float:
         """difference() of a text with these words."""
-        return sum([n * self.word(w) for w, n in bag.items()]) / (sum(bag.values()) + STEADY)
+        return sum([n * self.word(w) for w, n in zip(bag[0].split(), bag[1].tolist(), strict=True)]) / (int(bag[1].sum()) + STEADY)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         x = np.array([self.difference(t) for t in texts])
@@ -151,7 +151,8 @@ def _often(words: list[Counter[bytes]]) -> set[int]:
 
 
 def bag_of(text: str | None) -> Bag:
-    return Counter(ascii_lower_words(text))
+    own = Counter(ascii_lower_words(text))
+    return b" ".join(own), np.array(list(own.values()), "<i4")
 
 
 def fit(toxic: list[Bag], ordinary: list[Bag], ratio: float = 1.0) -> Model:
@@ -159,7 +160,7 @@ def fit(toxic: list[Bag], ordinary: list[Bag], ratio: float = 1.0) -> Model:
     sides = (toxic, ordinary)
     learn = [side[: len(side) - len(side) // 4] for side in sides]
     check = [side[len(side) - len(side) // 4 :] for side in sides]
-    words = [Counter(w for bag in bags for w in bag) for bags in learn]
+    words = [Counter(w for bag, _ in bags for w in bag.split()) for bags in learn]
     often = _often(words)
     counts: list[Counts] = [{}, {}]
     both: Counts = {}
@@ -235,14 +236,13 @@ class Toxicity:
         def bags(batches):
             for b in batches:
                 own = [bag_of(t) for t in b.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([list(x) for x in own], pa.list_(pa.binary())), pa.array([list(x.values()) for x in own], pa.list_(pa.int64()))], ["order", "id", "toxic", "words", "n"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([x for x, _ in own], pa.binary()), pa.array([n.tobytes() for _, n in own], pa.binary())], ["order", "id", "toxic", "words", "n"])
 
-        rows = rows.mapInArrow(bags, "order long, id long, toxic int, words array<binary>, n array<long>").collect()
+        rows = rows.mapInArrow(bags, "order long, id long, toxic int, words binary, n binary").collect()
         rows.sort(key=lambda r: (r["order"], r["id"]))
         known.unpersist()
         stands = [max(1.0, sizes.get(c, 0) / self.per_class) for c in (1, 0)]
-        kept: dict[bytes, bytes] = {}  # one object a word
-        sides = [[Counter({kept.setdefault(w, w): n for w, n in zip(map(bytes, r["words"]), r["n"], strict=True)}) for r in rows if r["toxic"] == c] for c in (1, 0)]
+        sides = [[(bytes(r["words"]), np.frombuffer(bytes(r["n"]), "<i4")) for r in rows if r["toxic"] == c] for c in (1, 0)]
         del rows
         return fit(*sides, stands[1] / stands[0])
 
