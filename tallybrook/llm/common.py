@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +49,18 @@ def discard(spark: SparkSession, folder: str, *names: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidied(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """step for mapInArrow; when a task ends, its worker, which stays for later tasks, returns free memory to the system."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from step(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+            trim(0)
+
+    return run
+
+
 #: Keys with over one in HEAVY rows are heavy: there are fewer than HEAVY of them, which bounds what is broadcast.
 HEAVY = 500
 

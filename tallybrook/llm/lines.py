@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, SPACES, discard, join_spread, parallelism, settle, shared_dir
+from .common import NULL_ID, SPACES, discard, join_spread, parallelism, settle, shared_dir, tidied
 from .cuckoo import Cuckoo
 
 SALTS = 8
@@ -59,7 +59,7 @@ class LineDedup:
                 yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(k[:4], "little") % shards for k in out], pa.int32()), pa.array(out, pa.binary()), pa.array(ids, pa.int64())], ["shard", "key", "doc_id"])
 
         d = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).alias("text"))
-        return d.mapInArrow(cut, "shard int, key binary, doc_id long").distinct()
+        return d.mapInArrow(tidied(cut), "shard int, key binary, doc_id long").distinct()
 
     def counts(self, postings: DataFrame) -> DataFrame:
         return postings.groupBy("shard", "key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
@@ -93,7 +93,7 @@ class LineDedup:
             if shard is not None:
                 yield done()
 
-        return rows.repartition(parallelism(spark), "shard").sortWithinPartitions("shard", "kind").mapInArrow(build, "shard int, filter binary")
+        return rows.repartition(parallelism(spark), "shard").sortWithinPartitions("shard", "kind").mapInArrow(tidied(build), "shard int, filter binary")
 
     def probe(self, postings: DataFrame, filters: DataFrame) -> DataFrame:
         """The postings that their shard's filter lets through."""
@@ -121,7 +121,7 @@ class LineDedup:
 
         return (
             copies.unionByName(asked).repartition(parallelism(postings.sparkSession), "shard", "salt")
-            .sortWithinPartitions("shard", "salt", "kind").mapInArrow(run, "shard int, key binary, doc_id long")
+            .sortWithinPartitions("shard", "salt", "kind").mapInArrow(tidied(run), "shard int, key binary, doc_id long")
         )
 
     def drops(self, postings: DataFrame, counts: DataFrame, filters: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ class LineDedup:
                 columns[at] = pa.array(out, columns[at].type)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-        return self._with_drops(docs, doc_id, text).mapInArrow(rewrite, docs.schema)
+        return self._with_drops(docs, doc_id, text).mapInArrow(tidied(rewrite), docs.schema)
 
     def report(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """doc_id, n_lines, n_dropped and the SHA-256 of the text that is left."""
@@ -171,7 +171,7 @@ class LineDedup:
                 yield pa.RecordBatch.from_arrays([pc.cast(ids, pa.int64()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(sums, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
         d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-        return self._with_drops(d, "doc_id", "text").mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+        return self._with_drops(d, "doc_id", "text").mapInArrow(tidied(digest), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def _kept(text: str, lost: set[bytes], least: int) -> list[str]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import ascii_lower_words, discard, join_spread, parallelism, settle
+from .common import ascii_lower_words, discard, join_spread, parallelism, settle, tidied
 from .components import components
 
 BANDS, ROWS = 40, 5
@@ -128,7 +128,7 @@ def _connected(nodes: DataFrame, folder: str, name: str) -> DataFrame:
     least = F.broadcast(hot.groupBy("bucket").agg(F.min(F.struct((~F.col("fresh")).alias("stale"), "node")).alias("least")))
     linked = hot.join(least, "bucket").where(~F.col("least.stale") & (F.col("least.node") != F.col("node"))).select(F.col("least.node").alias("a"), F.col("node").alias("b"))
     cold = each.join(F.broadcast(many), "bucket", "left_anti").repartition(parallelism(spark), "bucket").sortWithinPartitions("bucket", F.desc("fresh"), "node")
-    out = settle(components(linked.unionByName(cold.mapInArrow(stars, "a long, b long")), f"{folder}/{name}"), folder, f"{name}-connected")
+    out = settle(components(linked.unionByName(cold.mapInArrow(tidied(stars), "a long, b long")), f"{folder}/{name}"), folder, f"{name}-connected")
     discard(spark, folder, name, f"{name}-many")
     return out
 
@@ -168,7 +168,7 @@ def _with_leader(members: DataFrame, docs: DataFrame, doc_id: str, text: str, wo
     lead = d.where("node = component").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = lead.withColumn("follows", F.lit(False)).unionByName(d.where("node <> component").withColumn("follows", F.lit(True)), allowMissingColumns=True)
     dealt = rows.select("component", "part", "follows", "node", "print", "text").repartition(parallelism(docs.sparkSession), "component", "part").sortWithinPartitions("component", "part", "follows")
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.mapInArrow(tidied(compare), "a long, b long")
 
 
 def _within(members: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, similarity: float) -> DataFrame:
@@ -199,7 +199,7 @@ def _within(members: DataFrame, docs: DataFrame, doc_id: str, text: str, words:
     d = _with_text(members, docs, doc_id, text).withColumn("other", other)
     d = d.select("component", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "node", "print", "text")
     dealt = d.repartition(parallelism(docs.sparkSession), "component", "low", "high").sortWithinPartitions("component", "low", "high", "node")
-    return dealt.mapInArrow(search, "a long, b long")
+    return dealt.mapInArrow(tidied(search), "a long, b long")
 
 
 def keepers(job: simhash.SimHash, docs: DataFrame, folder: str, doc_id: str, text: str) -> DataFrame:
@@ -214,7 +214,7 @@ def keepers(job: simhash.SimHash, docs: DataFrame, folder: str, doc_id: str, tex
             prints = np.array([simhash.majority(s.astype(">u8").tobytes()) for s in sets], np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists], ["doc_id", "node", "print", "size", "buckets"])
 
-    rows = simhash.keyed(docs, doc_id, text).mapInArrow(sketch, "doc_id long, node long, print long, size long, buckets array<long>")
+    rows = simhash.keyed(docs, doc_id, text).mapInArrow(tidied(sketch), "doc_id long, node long, print long, size long, buckets array<long>")
     # A row a text.
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("print").alias("print"), F.first("size").alias("size"), F.first("buckets").alias("buckets"))
     nodes = settle(nodes, folder, "nodes")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, ascii_lower_words, discard, join_spread, parallelism, settle, shared_dir
+from .common import NULL_ID, ascii_lower_words, discard, join_spread, parallelism, settle, shared_dir, tidied
 from .components import components
 
 SEGMENTS, RADIUS, BITS = 8, 3, 64
@@ -155,7 +155,7 @@ class SimHash:
                 prints = np.array([fingerprint(t, words) for t in b.column(2).to_pylist()], np.uint64).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints, pa.int64())], ["doc_id", "node", "print"])
 
-        return keyed(docs, doc_id, text).mapInArrow(run, "doc_id long, node long, print long")
+        return keyed(docs, doc_id, text).mapInArrow(tidied(run), "doc_id long, node long, print long")
 
     def link(self, distinct: DataFrame) -> DataFrame:
         """distinct: print.  a, b: links between prints that connect all within RADIUS."""
@@ -186,8 +186,8 @@ class SimHash:
                 yield _edges(found, held, np.zeros(0, int))
 
         n = parallelism(distinct.sparkSession)
-        dealt = distinct.select("print").mapInArrow(spread, "pattern short, bucket long, print long").repartition(n, "pattern", "bucket").sortWithinPartitions("pattern", "bucket")
-        return dealt.mapInArrow(search, "a long, b long").distinct()
+        dealt = distinct.select("print").mapInArrow(tidied(spread), "pattern short, bucket long, print long").repartition(n, "pattern", "bucket").sortWithinPartitions("pattern", "bucket")
+        return dealt.mapInArrow(tidied(search), "a long, b long").distinct()
 
     def _grouped(self, docs: DataFrame, folder: str, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
         """fingerprints() of docs; and print, n (its rows), least (doc_id, print and node of its component's smallest document)."""

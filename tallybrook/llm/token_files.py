@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import byte_bpe
-from .common import NULL_ID, parallelism, shared_dir
+from .common import NULL_ID, parallelism, shared_dir, tidied
 
 MAGIC = b"TBTK0001"
 #: Ids in a block: a multiple of 64, so that full blocks are whole words at any width.
@@ -209,9 +209,9 @@ class TokenFiles:
                 done.append((shard, writer))
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in done], pa.int32()), pa.array([f"{folder}/ids-{s:06d}.bin" for s, _ in done], pa.string()), pa.array([len(w.ids) for _, w in done], pa.int64()), pa.array([w.n for _, w in done], pa.int64())], ["shard", "file", "n_docs", "n_ids"])
 
-        dealt = d.mapInArrow(encode, "task int, shard int, doc_id long, ids binary").repartition(tasks, "task").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids").select("shard", "doc_id", "ids")
+        dealt = d.mapInArrow(tidied(encode), "task int, shard int, doc_id long, ids binary").repartition(tasks, "task").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids").select("shard", "doc_id", "ids")
         # One row a file, most_files at most: this is the only thing the driver gets.
-        written = sorted(dealt.mapInArrow(write, "shard int, file string, n_docs long, n_ids long").collect())
+        written = sorted(dealt.mapInArrow(tidied(write), "shard int, file string, n_docs long, n_ids long").collect())
         before, out = 0, []
         for s, f, docs_in, ids_in in written:
             out.append((s, f, docs_in, ids_in, before))
@@ -237,7 +237,7 @@ class TokenFiles:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
         n = max(1, min(parallelism(files.sparkSession), files.count()))
-        return files.repartition(n).select("file", "start").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        return files.repartition(n).select("file", "start").mapInArrow(tidied(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _keys(spark, tasks: int) -> np.ndarray:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower_words, crc32_text
+from .common import ascii_lower_words, crc32_text, tidied
 
 #: Labelled documents a class that training takes at most.
 PER_CLASS = 2_000
@@ -238,7 +238,7 @@ class Toxicity:
                 own = [bag_of(t) for t in b.column(3).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([x for x, _ in own], pa.binary()), pa.array([n.tobytes() for _, n in own], pa.binary())], ["order", "id", "toxic", "words", "n"])
 
-        rows = rows.mapInArrow(bags, "order long, id long, toxic int, words binary, n binary").collect()
+        rows = rows.mapInArrow(tidied(bags), "order long, id long, toxic int, words binary, n binary").collect()
         rows.sort(key=lambda r: (r["order"], r["id"]))
         known.unpersist()
         stands = [max(1.0, sizes.get(c, 0) / self.per_class) for c in (1, 0)]
@@ -256,7 +256,7 @@ class Toxicity:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
         d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (crc32_text(doc_id) % self.folds == self.held).alias("held_out"), F.col(text).alias("text"))
-        return d.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+        return d.mapInArrow(tidied(run), "doc_id long, held_out boolean, score double, predicted int")
 
     def apply(self, docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """The rows of docs that are not toxic, with all their columns."""
@@ -266,5 +266,5 @@ class Toxicity:
             for b in batches:
                 yield b.filter(pa.array(model.value.scores(b.column(b.schema.get_field_index(text)).to_pylist()) < 0.5))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(tidied(run), docs.schema)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parallelism, settle, shared_dir
+from .common import parallelism, settle, shared_dir, tidied
 
 #: Candidates in a group, and queries in a tile, about.
 GROUP, TILE = 16_384, 4_096
@@ -281,5 +281,5 @@ def approximate_top_k(df: DataFrame, is_query: Column, k: int = 5, vec_id: str =
                 out_s.append(scores[best])
         return tuple(np.concatenate(x) for x in (out_q, out_c, out_s))
 
-    indexed = settle(rows.mapInArrow(index, "vec_id long, vector array<double>, code binary"), folder, "index")
+    indexed = settle(rows.mapInArrow(tidied(index), "vec_id long, vector array<double>, code binary"), folder, "index")
     return in_blocks(indexed, is_query, search, k, "double")

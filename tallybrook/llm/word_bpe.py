@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .byte_bpe import byte_letters
+from .common import tidied
 
 #: Fixed value: the pre-tokenizer's pattern for this kind of vocabulary.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -230,7 +231,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
             out = [x for part in _parts(b.column(1).to_pylist()) for x in coder.encode_batch(part)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidied(run), "doc_id long, ids binary")
 
 
 def report(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
@@ -250,4 +251,4 @@ def report(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_pydict(out)
 
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return d.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids)
+    return d.mapInArrow(tidied(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids)
