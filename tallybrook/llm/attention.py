@@ -6,7 +6,8 @@ distributions over the vocabulary, and the next token's probability is their mix
     h_i = x_i + sum over j <= i of softmax(q_i k_j + bias[i - j]) v_j
     p(t | h) = sum over g of softmax(h G)_g P_g(t)
 
-gather() is the expectation step alone, which executors take over texts of any number.
+gather() is the expectation step alone, over texts of any number.  learn() takes it along with the layer's gradient (Adagrad),
+a few windows at a time: so each executor passes over all its texts, and the layers that come of it are averaged.
 
 Every P_g sums to one, so no sum over the vocabulary is needed to score a token.  The layer learns by gradient
 (Adam), the distributions by expectation and maximisation from the same responsibilities; each leans on the
@@ -36,6 +37,8 @@ AT_ONCE = 64
 SLOPE, ONE = np.float32(2**23 / np.log(2)), np.float32(127 * 2**23)
 #: Logs that weights() tells apart: beyond them it gives the nearest.
 FEWEST, MOST = np.float32(-80), np.float32(60)
+#: How far learn() moves the layer, and what the squared slopes are taken to have come to before (so the first steps are no leaps).
+RATE, REST = 0.03, 10.0
 #: Rows of noise that draws choose among.
 NOISE = 4096
 
@@ -70,6 +73,30 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return text, (np.arange(len(text)) - np.repeat(first, n)) * (WINDOW - CONTEXT)
 
 
+@dataclass(frozen=True)
+class Step:
+    """What windows gave on the way to their kinds; weight and read are no shares yet, read's last column has their sums."""
+
+    given: np.ndarray
+    scored: np.ndarray
+    x: np.ndarray
+    weight: np.ndarray
+    values: np.ndarray
+    read: np.ndarray
+    state: np.ndarray
+
+
+def _add(found: list[np.ndarray], into: np.ndarray) -> None:
+    if found:
+        at, n = np.unique(np.concatenate(found), return_counts=True)
+        into.reshape(-1)[at] += n
+
+
+def resting(layer: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Adagrad's sums before the first step."""
+    return {k: np.full_like(v, REST) for k, v in layer.items()}
+
+
 @dataclass
 class Attention:
     layer: dict[str, np.ndarray]
@@ -80,7 +107,7 @@ class Attention:
         """log10 of each token's probability given what stands before it in its text, text after text."""
         out = np.zeros(sum(len(t) for t in texts))
         held, one = self._buffer(), np.ones(self.table.shape[1], np.float32)
-        for places, gate, _, target, _ in self._gates(texts):
+        for places, gate, _, target, *_ in self._gates(texts):
             shares = np.take(self.table, target, axis=0, out=held[: len(target)], mode="clip")
             out[places] = np.einsum("ij,ij->i", gate, shares) / (gate @ one)
         np.log10(out, out=out)
@@ -88,24 +115,79 @@ class Attention:
 
     def gather(self, texts: list[np.ndarray], into: np.ndarray) -> None:
         """Adds to into (vocabulary, KINDS) one for each token, at the kind drawn for it: the expectation step over texts."""
-        kinds, rows, found, held = into.shape[1], noise(), [], self._buffer()
-        for _, gate, given, target, inside in self._gates(texts):
+        found, held, room = [], self._buffer(), self._buffer()
+        for _, gate, given, target, inside, _ in self._gates(texts):
             gate *= np.take(self.table, target, axis=0, out=held[: len(target)], mode="clip")
-            row = (target * 2_654_435_761 + given * 40_503 + inside * 97) % NOISE
-            gate *= np.take(rows, row, axis=0, out=held[: len(target)], mode="clip")
-            found.append(target * kinds + gate.argmax(axis=1))
-        if found:
-            at, n = np.unique(np.concatenate(found), return_counts=True)
-            into.reshape(-1)[at] += n
+            found.append(self._drawn(gate, given, target, inside, room))
+        _add(found, into)
+
+    def learn(self, texts: list[np.ndarray], into: np.ndarray, squares: dict[str, np.ndarray], rate: float = RATE) -> None:
+        """As gather(), and the layer moves by the gradient of each AT_ONCE windows in turn, with every scored token in it.
+
+        The table stays.  squares: Adagrad's sums, as of resting(); they go on from call to call.
+        """
+        found, held, room, one = [], self._buffer(), self._buffer(), np.ones(self.table.shape[1], np.float32)
+        for _, gate, given, target, inside, step in self._gates(texts, moving=True):
+            total = gate @ one + _LEAST
+            joint = np.take(self.table, target, axis=0, out=held[: len(target)], mode="clip")
+            joint *= gate
+            found.append(self._drawn(joint, given, target, inside, room))
+            joint *= (total / (joint @ one + _LEAST))[:, None]
+            gate -= joint  # the error, total times
+            self._move(step, gate, 1 / total, squares, rate)
+        _add(found, into)
+
+    def _move(self, step: Step, error: np.ndarray, scale: np.ndarray, squares: dict[str, np.ndarray], rate: float) -> None:
+        slopes, rows, by_row = self._slopes(step, error, scale)
+        for k, g in slopes.items():
+            squares[k] += g * g
+            self.layer[k] -= rate * g / (np.sqrt(squares[k]) + _LEAST)
+        sums = squares["embed"][rows] + by_row * by_row
+        squares["embed"][rows] = sums
+        self.layer["embed"][rows] -= rate * by_row / (np.sqrt(sums) + _LEAST)
+
+    def _slopes(self, step: Step, error: np.ndarray, scale: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """The loss's slopes of a step's windows, without the embedding; the tokens that have some there, and these.
+
+        As _backward(), with weights() taken for exp.  error, times scale by row: the loss's slope at the gate's inputs, for the scored places.
+        """
+        layer, x = self.layer, step.x
+        flat = lambda a: a.reshape(-1, a.shape[-1])
+        total = step.read[..., -1:] + _LEAST
+        weight = step.weight / total
+        dh = np.zeros_like(x)
+        dh[step.scored] = error @ layer["gate"].T * scale[:, None]
+        dv = weight.transpose(0, 2, 1) @ dh
+        ds = dh @ step.values[..., :-1].transpose(0, 2, 1)
+        ds -= np.vecdot(dh, step.read[..., :-1])[..., None] / total
+        ds *= weight
+        asking, asked = ds @ x, ds.transpose(0, 2, 1) @ x
+        asks = layer["query"] @ layer["key"].T
+        dx = flat(dh) + flat(asking) @ asks.T + flat(asked) @ asks + flat(dv) @ layer["value"].T
+        by_asks, by_choice = flat(x).T @ flat(asking), (error.T @ (step.state * scale[:, None])).T
+        by_ago = np.bincount(np.maximum(_AGO, 0).ravel(), np.where(_AGO >= 0, ds.sum(axis=0), 0).ravel(), WINDOW).astype(np.float32)
+        tokens = step.given.ravel()
+        order = np.argsort(tokens.astype(np.uint16) if len(layer["embed"]) <= 1 << 16 else tokens, kind="stable")  # sixteen bits sort faster
+        first = np.flatnonzero(np.diff(tokens[order], prepend=-1))
+        rows = tokens[order[first]]
+        slopes = {"query": by_asks @ layer["key"], "key": by_asks.T @ layer["query"], "value": flat(x).T @ flat(dv), "bias": by_ago, "gate": by_choice[:-1], "lean": by_choice[-1]}
+        return slopes, rows, np.add.reduceat(dx[order], first, axis=0)
+
+    def _drawn(self, joint: np.ndarray, given: np.ndarray, target: np.ndarray, inside: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """The places in the table of the tokens and the kinds drawn for them.  joint: the kinds' shares; held: room."""
+        row = (target * 2_654_435_761 + given * 40_503 + inside * 97) % NOISE
+        drawn = np.take(noise(), row, axis=0, out=held[: len(target)], mode="clip")
+        drawn *= joint
+        return target * drawn.shape[1] + drawn.argmax(axis=1)
 
     def _buffer(self) -> np.ndarray:
         return np.empty((AT_ONCE * WINDOW, self.table.shape[1]), np.float32)
 
-    def _gates(self, texts: list[np.ndarray]):
+    def _gates(self, texts: list[np.ndarray], moving: bool = False):
         """For some tokens at a time, each once: their places in the texts' row, the kinds' weights (no softmax yet; good until
-        the next ones), the tokens before them, the tokens, their places in the text.
+        the next ones), the tokens before them, the tokens, their places in the text, and the Step they come from.
 
-        As _forward(), for the scored places only, with sums taken by the matrix products.
+        As _forward(), for the scored places only, with sums taken by the matrix products.  moving: the layer changes meanwhile.
         """
         lengths = np.array([len(t) for t in texts], np.int64)
         if not lengths.sum():
@@ -117,30 +199,39 @@ class Attention:
         given[base[lengths > 0]] = self.start
         text, begin = windows(lengths)
         place, layer = np.arange(WINDOW), self.layer
-        asks = layer["query"] @ layer["key"].T * SLOPE
-        bias = np.where(_AGO >= 0, layer["bias"][np.maximum(_AGO, 0)] * SLOPE + ONE, np.float32(-1e30))
-        choice = np.vstack((layer["gate"] * SLOPE, layer["lean"] * SLOPE + ONE))  # lean has a component of its own, always one
+        asks, bias, choice = self._scaled()
         # Large arrays are made once: fresh memory for each step would cost more than the sums.
         size = AT_ONCE * WINDOW
         state, gates, bits = np.ones((size, len(choice)), np.float32), np.empty((size, choice.shape[1]), np.float32), np.empty((size, choice.shape[1]), np.int32)
         for at in range(0, len(text), AT_ONCE):
+            if moving and at:
+                asks, bias, choice = self._scaled()
             t, b = text[at : at + AT_ONCE], begin[at : at + AT_ONCE]
             inside = b[:, None] + place
             real = inside < lengths[t][:, None]
             index = np.where(real, base[t][:, None] + inside, base[t][:, None])
             scored = real & ((b == 0)[:, None] | (place >= CONTEXT))
             places = index[scored]
-            x = layer["embed"][given[index]]
+            before = given[index]
+            x = layer["embed"][before]
             flat = x.reshape(-1, x.shape[-1])
             weight = (flat @ asks).reshape(x.shape) @ x.transpose(0, 2, 1)
             weight += bias
             values = np.ones((*x.shape[:2], x.shape[2] + 1), x.dtype)
             values[..., :-1] = (flat @ layer["value"]).reshape(x.shape)
-            read = weights(weight) @ values
+            weight = weights(weight)
+            read = weight @ values
             n = len(places)
             state[:n, :-1] = (x + read[..., :-1] / (read[..., -1:] + _LEAST))[scored]
             gate = np.matmul(state[:n], choice, out=gates[:n])
-            yield places, weights(gate, ONE + FEWEST * SLOPE, bits[:n]), given[places], target[places], inside[scored]
+            yield places, weights(gate, ONE + FEWEST * SLOPE, bits[:n]), given[places], target[places], inside[scored], Step(before, scored, x, weight, values, read, state[:n])
+
+    def _scaled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What gives weights() their inputs: for pairs of tokens, by distance, for kinds."""
+        layer = self.layer
+        asks = layer["query"] @ layer["key"].T * SLOPE
+        bias = np.where(_AGO >= 0, layer["bias"][np.maximum(_AGO, 0)] * SLOPE + ONE, np.float32(-1e30))
+        return asks, bias, np.vstack((layer["gate"] * SLOPE, layer["lean"] * SLOPE + ONE))  # lean has a component of its own, always one
 
     def _mixture(self, gate: np.ndarray, target: np.ndarray) -> np.ndarray:
         return np.einsum("wig,wig->wi", gate, self.table[target])

@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 #: Fixed value: the pre-tokenizer's pattern for this kind of vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONG_RUN = 2_000
+_ODD_SPACE = re.compile(r"[^\S ]")
 _LONG = re.compile(rf"[^ ]{{{LONG_RUN}}}|\s{{{LONG_RUN}}}")
 
 
@@ -37,6 +38,9 @@ class ByteBpe:
         ranks = {bytes(map(byte.__getitem__, token)): i for token, i in vocabulary.items() if token not in specials}
         self.core = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=specials)
         self.specials = frozenset(specials)
+        self.lengths = np.zeros(max(ranks.values(), default=0) + 1, np.int64)  # of ids, in bytes
+        for token, i in ranks.items():
+            self.lengths[i] = len(token)
         self.size = self.library.get_vocab_size(with_added_tokens=True)
 
     def encode(self, text: str) -> np.ndarray:
@@ -47,6 +51,25 @@ class ByteBpe:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
         return self.core.encode_to_numpy(text, allowed_special=self.specials, disallowed_special=())
 
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of words with a space before each, one after another, and how many each has, as encode_ordinary() gives them alone.
+
+        Pieces begin at spaces, so the words are read as one text.  None where that may differ: words that hold white
+        space of other kinds or no UTF-8, and long ones.
+        """
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        if not len(words) or not sizes.all() or sizes.max() >= LONG_RUN:
+            return None
+        try:
+            text = " " + b" ".join(words).decode()
+        except UnicodeDecodeError:
+            return None
+        if _ODD_SPACE.search(text):
+            return None
+        ids = self.core.encode_to_numpy(text, allowed_special=frozenset(), disallowed_special=())
+        upto = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes + 1)) + 1
+        return ids, np.diff(upto, prepend=0)
+
     def encode_ordinary(self, text: str) -> np.ndarray:
         """As encode(), but special tokens' strings are ordinary text."""
         if len(text) > LONG_RUN and _LONG.search(text):

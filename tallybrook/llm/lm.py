@@ -1,9 +1,9 @@
 """Scoring texts with a causal self-attention model over subwords (operator 2).
 
 Words are lower-cased (A-Z) and every word, with a space before it, is cut into byte-level BPE ids, so a text is
-a sequence of subwords that ends with the end id.  The attention model (see attention.py) starts from windows of a
-bounded sample of the training documents; its output distributions are then gathered from all of them by the
-executors, and lean on subword counts of all.  A word's
+a sequence of subwords that ends with the end id.  The attention model (see attention.py) learns from all training documents:
+windows of a bounded sample only give the start that tasks share, from which each goes on over all its texts; the
+layers they reach are averaged, the output distributions gathered, and these lean on subword counts of all.  A word's
 probability is MIX times what the model gives its subwords in context, plus the rest times the word's share of
 all training tokens; a text's is the product over its words and the end.  model_score is the model's part alone.
 
@@ -72,6 +72,8 @@ class Subwords:
         """The subwords of words one after another, and how many each has."""
         if not words:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if found := self.coder.encode_words(words):
+            return found
         try:
             found = list(map(self.known.__getitem__, words))
         except KeyError:
@@ -146,11 +148,11 @@ class LanguageModel:
             cutter = _subwords(path, end)
             out = np.zeros(cutter.size)
             for b in batches:
-                for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    if w == END:
-                        out[end] += n
-                    else:
-                        np.add.at(out, np.frombuffer(cutter.one(w), "<u4"), n)
+                words, n = b.column(0).to_pylist(), b.column(1).to_numpy()
+                ends = np.array([w == END for w in words], bool)
+                out[end] += n[ends].sum()
+                ids, sizes = cutter.cut([w for w in words if w != END])
+                out += np.bincount(ids, np.repeat(n[~ends], sizes), len(out))
             ids = np.flatnonzero(out)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out[ids])], ["id", "n"])
 
@@ -200,7 +202,72 @@ class LanguageModel:
 
     def fit(self, training: DataFrame, vocabulary: DataFrame, texts: int) -> Attention:
         counts = self.subword_counts(vocabulary)
-        return self.gather(training, train(*self.windows(training, texts), counts, self.end, steps=self.steps), counts)
+        return self.learn(training, train(*self.windows(training, texts), counts, self.end, steps=self.steps), counts)
+
+    def learn(self, training: DataFrame, start: Attention, counts: np.ndarray) -> Attention:
+        """start, learnt further from every text of training: the layer's mean over tasks, and the kinds' distributions gathered.
+
+        Each task goes on from start over all its texts (see Attention.learn).  A token's embedding counts for as often as a
+        task's texts give it, all else of the layer for the task's tokens; these sums and the kinds' are added by executors.
+        """
+        shared = training.sparkSession.sparkContext.broadcast(start)
+        path, end, (size, kinds) = self.path, self.end, start.table.shape
+        width, rest = attention.WIDTH, sorted(k for k in start.layer if k != "embed")
+        wide = kinds + width + 1  # a row: of a token its kinds, its embedding times its weight, its weight; beyond the tokens, the rest of the layer
+
+        def some(ids, rows) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([r.astype("<f4").tobytes() for r in rows], pa.binary())], ["id", "sums"])
+
+        def one_pass(batches):
+            model, cutter = shared.value, _subwords(path, end)
+            model = Attention({k: v.copy() for k, v in model.layer.items()}, model.table, model.start)
+            squares, into, given = attention.resting(model.layer), np.zeros((size, kinds), np.float32), np.zeros(size)
+
+            def over(texts):
+                model.learn(texts, into, squares)
+                for t in texts:
+                    np.add.at(given, t[:-1], 1)
+                given[end] += len(texts)
+
+            for b in batches:
+                held, tokens = [], 0
+                for t in b.column(0).to_pylist():
+                    held.append(cutter.text(ascii_lower_words(t)))
+                    tokens += len(held[-1])
+                    if tokens > _TOGETHER:
+                        over(held)
+                        held, tokens = [], 0
+                over(held)
+            if given.any():
+                flat = np.append(np.concatenate([model.layer[k].ravel() for k in rest]).astype(float) * given.sum(), given.sum())
+                flat = np.append(flat, np.zeros(-len(flat) % wide)).reshape(-1, wide)
+                ids = np.flatnonzero(into.any(axis=1) | (given > 0))
+                own = np.concatenate((into[ids], model.layer["embed"][ids] * given[ids, None], given[ids, None]), axis=1)
+                yield some([*ids, *range(size, size + len(flat))], [*own, *flat])
+
+        def add(batches):
+            sums: dict[int, np.ndarray] = {}
+            for b in batches:
+                for i, row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    sums[i] = sums.get(i, 0.0) + np.frombuffer(row, "<f4").astype(float)
+            yield some(list(sums), list(sums.values()))
+
+        parts = training.select("text").mapInArrow(tidied(one_pass), "id long, sums binary").repartition(parallelism(training.sparkSession), "id")
+        got = {r["id"]: np.frombuffer(r["sums"], "<f4") for r in parts.mapInArrow(tidied(add), "id long, sums binary").collect()}  # the vocabulary of ids bounds it
+        shared.destroy()
+        sums, layer = np.zeros((size, kinds), np.float32), {k: v.copy() for k, v in start.layer.items()}
+        for i in [i for i in got if i < size]:
+            row = got.pop(i)
+            sums[i] = row[:kinds]
+            if row[-1]:
+                layer["embed"][i] = row[kinds:-1] / row[-1]
+        if got:
+            flat, at = np.concatenate([got[i] for i in sorted(got)]), 0
+            weight = flat[sum(layer[k].size for k in rest)]
+            for k in rest:
+                layer[k][...] = (flat[at : at + layer[k].size] / weight).reshape(layer[k].shape)
+                at += layer[k].size
+        return Attention(layer, attention.leant(sums, attention.shares_of(counts)), start.start)
 
     def gather(self, training: DataFrame, start: Attention, counts: np.ndarray) -> Attention:
         """start with the kinds' distributions gathered anew, by an expectation step over every text of training."""

@@ -222,3 +222,71 @@ def test_words_are_cut_one_by_one():
     for _ in range(3):
         ids, sizes = cutter.cut(words)
         assert ids.tolist() == [x for w in words for x in np.frombuffer(cutter.one(w), "<u4").tolist()] and sizes.sum() == len(ids) and (sizes > 0).all()
+
+
+def test_slopes_of_a_pass(monkeypatch):
+    """With exp itself for weights(), a pass's slopes are those of training, which test_slopes holds against differences."""
+    monkeypatch.setattr(attention, "weights", lambda scaled, least=0, into=None: np.exp((scaled.astype(float) - attention.ONE) / attention.SLOPE).astype(np.float32))
+    model, rng = small(20, 3), np.random.default_rng(4)
+    texts = [rng.integers(0, 20, attention.WINDOW) for _ in range(5)]
+    found = []
+    monkeypatch.setattr(Attention, "_move", lambda self, step, error, scale, squares, rate: found.append(self._slopes(step, error, scale)))
+    into = np.zeros(model.table.shape, np.float32)
+    model.learn(texts, into, attention.resting(model.layer))
+    given, target = (np.stack(x) for x in zip(*((np.append(model.start, t[:-1]), t) for t in texts), strict=True))
+    f = attention._forward(model.layer, given)
+    joint = f["gate"] * model.table[target]
+    want = attention._backward(model.layer, given, f, f["gate"] - joint / joint.sum(axis=-1, keepdims=True))
+    (slopes, rows, by_row), embed = found[0], want.pop("embed")
+    assert len(found) == 1 and into.sum() == sum(map(len, texts)) and slopes.keys() == want.keys()
+    for k, v in want.items():
+        assert np.allclose(slopes[k], v, rtol=2e-3, atol=2e-3), k
+    assert np.allclose(by_row, embed[rows], rtol=2e-3, atol=2e-3) and set(rows) == set(np.flatnonzero(embed.any(axis=1)))
+
+
+def test_the_layer_learns_from_texts_outside_the_sample(spark):
+    """What follows "zebra" is known from texts that the sample lacks: its embedding and all else of the layer move."""
+    rng = random.Random(8)
+    data = [(i, " ".join(f"{a} {b}" for a, b in (rng.choice([("red", "one"), ("blue", "two")] + [("zebra", "nine")] * (i >= 30)) for _ in range(60)))) for i in range(1500)]
+    job = LanguageModel(PATH, sample=30, steps=150)
+    cutter = lm._subwords(PATH, job.end)
+    texts = [cutter.text(lm.ascii_lower_words(t)) for _, t in data]
+    counts = np.bincount(np.concatenate(texts), minlength=cutter.size).astype(float)
+    start = train(texts[:30], counts, job.end, steps=150)
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(2)
+    got, plainly = job.learn(frame, start, counts), job.gather(frame, start, counts)
+    zebra = cutter.cut([b"zebra"])[0]
+    assert all(not np.allclose(got.layer[k], start.layer[k]) for k in start.layer) and not np.allclose(got.layer["embed"][zebra], start.layer["embed"][zebra])
+    unseen = np.setdiff1d(np.arange(cutter.size), np.append(np.concatenate(texts), job.end))
+    assert np.array_equal(got.layer["embed"][unseen], start.layer["embed"][unseen])
+    assert np.allclose(got.table.sum(axis=0, dtype=float), 1, atol=1e-5)
+    assert got.logs(texts[30:]).mean() > plainly.logs(texts[30:]).mean() + 0.003
+
+
+def test_a_pass_is_the_mean_of_its_tasks(spark):
+    """Two tasks of the same texts reach what one of them reaches, with twice its counts."""
+    text = [("red one blue two " * 20,)]
+    job = LanguageModel(PATH, sample=30, steps=5)
+    cutter = lm._subwords(PATH, job.end)
+    ids = cutter.text(lm.ascii_lower_words(text[0][0]))
+    counts = np.bincount(ids, minlength=cutter.size).astype(float)
+    start = train([ids], counts, job.end, steps=5)
+    twice = spark.createDataFrame(text, "text string")
+    got = job.learn(twice.unionAll(twice), start, counts)
+    own, into = Attention({k: v.copy() for k, v in start.layer.items()}, start.table, start.start), np.zeros(start.table.shape, np.float32)
+    own.learn([ids], into, attention.resting(own.layer))
+    assert all(np.allclose(got.layer[k], own.layer[k], rtol=1e-4, atol=1e-6) for k in own.layer)
+    assert np.allclose(got.table, attention.leant(2 * into, attention.shares_of(counts)), rtol=1e-4)
+
+
+def test_words_are_cut_as_one_text():
+    coder, rng = lm._subwords(PATH, 50256).coder, random.Random(9)
+    letters = list("abcxyz019'.,!?<|>-_é中🙂\u0301\u200d\u180e") + ["'s", "'ll", "the", "ing", "<|endoftext|>"]
+    for _ in range(2000):
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 8))).encode() for _ in range(rng.randint(1, 12))]
+        ids, sizes = coder.encode_words(words)
+        assert ids.tolist() == [i for w in words for i in coder.encode_ordinary(" " + w.decode())]
+        assert sizes.tolist() == [len(coder.encode_ordinary(" " + w.decode())) for w in words]
+    for odd in ("a\xa0", "\x85b", "\u3000", "\x1cb", "x" * 3000):
+        assert coder.encode_words([b"plain", odd.encode()]) is None
+    assert coder.encode_words([b"plain", b"\xff"]) is None and coder.encode_words([b"plain", b""]) is None and coder.encode_words([]) is None
