@@ -139,7 +139,8 @@ class LineDedup:
         drops = settle(self.drops(postings, counts, filters), folder, "drops")
         discard(spark, folder, "postings", "counts", "filters")
         rows = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-        return rows.join(drops, "doc_id", "left").select("row", "lost")
+        # The same join at every size: a broadcast of few drops, which more documents outgrow, would make disk leap.
+        return rows.join(drops.hint("merge"), "doc_id", "left").select("row", "lost")
 
     def apply(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """docs with the dropped lines gone from its texts (null texts stay null); the columns are the same."""

@@ -126,3 +126,11 @@ def test_a_line_that_all_documents_share(spark):
     rows = [(i, "Licensed to everybody under no terms whatsoever" + f"\nown line {i}") for i in range(3000)]
     got = LineDedup().report(frame(spark, rows)).collect()
     assert sum(r.n_dropped for r in got) == 2999 and [r.doc_id for r in got if not r.n_dropped] == [2999]
+
+
+def test_few_drops_are_joined_as_many_are(spark):
+    """What a small input moves tells what a large one will: no broadcast that more documents outgrow."""
+    joined = LineDedup()._with_drops(frame(spark, corpus(30)), "doc_id", "text")
+    joined.collect()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
