@@ -43,12 +43,13 @@ RATE, REST = 0.03, 10.0
 NOISE = 4096
 
 
-def weights(scaled: np.ndarray, least: np.float32 = np.float32(0), into: np.ndarray | None = None) -> np.ndarray:
+def weights(scaled: np.ndarray, least: np.float32 | None = np.float32(0), into: np.ndarray | None = None) -> np.ndarray:
     """About exp(x) for scaled = SLOPE * x + ONE: 2^n (1 + f) where x is (n + f) ln 2.  Changes scaled; up to 0 gives 0.
 
-    least: what scaled is raised to.  into: whole numbers of 32 bits that take the result, which is a view of them.
+    least: what scaled is raised to; None: all is known to be within MOST of 0, either way.  into: whole numbers of 32 bits that take the result, which is a view of them.
     """
-    np.clip(scaled, least, ONE + MOST * SLOPE, out=scaled)
+    if least is not None:
+        np.clip(scaled, least, ONE + MOST * SLOPE, out=scaled)
     into = np.empty(scaled.shape, np.int32) if into is None else into
     np.copyto(into, scaled, casting="unsafe")
     return into.view(np.float32)
@@ -75,7 +76,10 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Step:
-    """What windows gave on the way to their kinds; weight and read are no shares yet, read's last column has their sums."""
+    """What windows gave on the way to their kinds; scored: which of their places, counted through all windows.
+
+    weight and read are no shares yet, read's last column has their sums.
+    """
 
     given: np.ndarray
     scored: np.ndarray
@@ -142,36 +146,45 @@ class Attention:
         for k, g in slopes.items():
             squares[k] += g * g
             self.layer[k] -= rate * g / (np.sqrt(squares[k]) + _LEAST)
-        sums = squares["embed"][rows] + by_row * by_row
+        sums, embed = squares["embed"].take(rows, axis=0) + by_row * by_row, self.layer["embed"]
         squares["embed"][rows] = sums
-        self.layer["embed"][rows] -= rate * by_row / (np.sqrt(sums) + _LEAST)
+        embed[rows] = embed.take(rows, axis=0) - rate * by_row / (np.sqrt(sums) + _LEAST)
 
     def _slopes(self, step: Step, error: np.ndarray, scale: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
         """The loss's slopes of a step's windows, without the embedding; the tokens that have some there, and these.
 
         As _backward(), with weights() taken for exp.  error, times scale by row: the loss's slope at the gate's inputs, for the scored places.
         """
-        layer, x = self.layer, step.x
+        layer, x, width = self.layer, step.x, step.x.shape[-1]
         flat = lambda a: a.reshape(-1, a.shape[-1])
         total = step.read[..., -1:] + _LEAST
         weight = step.weight / total
-        dh = np.zeros_like(x)
-        dh[step.scored] = error @ layer["gate"].T * scale[:, None]
-        dv = weight.transpose(0, 2, 1) @ dh
+        own = np.zeros((len(error) + 1, width), np.float32)  # the last row is for places that are not scored
+        np.matmul(error, layer["gate"].T, out=own[:-1])
+        own[:-1] *= scale[:, None]
+        spot = np.full(step.given.size, len(error))
+        spot[step.scored] = np.arange(len(error))
+        dh = own.take(spot, axis=0).reshape(x.shape)
+        # Side by side, so that one product each takes the slopes to x and to the layer: through the pair's other token, its own, the value.
+        moved = np.empty((*x.shape[:2], 3 * width), np.float32)
+        np.matmul(weight.transpose(0, 2, 1), dh, out=moved[..., 2 * width :])
         ds = dh @ step.values[..., :-1].transpose(0, 2, 1)
-        ds -= np.vecdot(dh, step.read[..., :-1])[..., None] / total
+        ds -= ((dh * step.read[..., :-1]) @ np.ones(width, np.float32))[..., None] / total
         ds *= weight
-        asking, asked = ds @ x, ds.transpose(0, 2, 1) @ x
+        np.matmul(ds.transpose(0, 2, 1), x, out=moved[..., :width])
+        np.matmul(ds, x, out=moved[..., width : 2 * width])
         asks = layer["query"] @ layer["key"].T
-        dx = flat(dh) + flat(asking) @ asks.T + flat(asked) @ asks + flat(dv) @ layer["value"].T
-        by_asks, by_choice = flat(x).T @ flat(asking), (error.T @ (step.state * scale[:, None])).T
-        by_ago = np.bincount(np.maximum(_AGO, 0).ravel(), np.where(_AGO >= 0, ds.sum(axis=0), 0).ravel(), WINDOW).astype(np.float32)
+        dx = flat(moved) @ np.vstack((asks, asks.T, layer["value"].T))
+        dx += flat(dh)
+        by_pair, by_choice = flat(x).T @ flat(moved)[:, width:], (error.T @ (step.state * scale[:, None])).T
+        by_asks, by_value = by_pair[:, :width], by_pair[:, width:]
+        by_ago = np.bincount(_BACK, (np.ones(len(ds), np.float32) @ ds.reshape(len(ds), -1))[_SEEN], WINDOW).astype(np.float32)
         tokens = step.given.ravel()
         order = np.argsort(tokens.astype(np.uint16) if len(layer["embed"]) <= 1 << 16 else tokens, kind="stable")  # sixteen bits sort faster
-        first = np.flatnonzero(np.diff(tokens[order], prepend=-1))
-        rows = tokens[order[first]]
-        slopes = {"query": by_asks @ layer["key"], "key": by_asks.T @ layer["query"], "value": flat(x).T @ flat(dv), "bias": by_ago, "gate": by_choice[:-1], "lean": by_choice[-1]}
-        return slopes, rows, np.add.reduceat(dx[order], first, axis=0)
+        sorted_tokens = tokens.take(order)
+        first = np.append(0, np.flatnonzero(sorted_tokens[1:] != sorted_tokens[:-1]) + 1)
+        slopes = {"query": by_asks @ layer["key"], "key": by_asks.T @ layer["query"], "value": by_value, "bias": by_ago, "gate": by_choice[:-1], "lean": by_choice[-1]}
+        return slopes, sorted_tokens.take(first), np.add.reduceat(dx.take(order, axis=0), first, axis=0)
 
     def _drawn(self, joint: np.ndarray, given: np.ndarray, target: np.ndarray, inside: np.ndarray, held: np.ndarray) -> np.ndarray:
         """The places in the table of the tokens and the kinds drawn for them.  joint: the kinds' shares; held: room."""
@@ -198,40 +211,48 @@ class Attention:
         given[1:] = target[:-1]
         given[base[lengths > 0]] = self.start
         text, begin = windows(lengths)
-        place, layer = np.arange(WINDOW), self.layer
-        asks, bias, choice = self._scaled()
+        place, embed = np.arange(WINDOW), self.layer["embed"]
+        width = embed.shape[1]
+        middle = np.append(np.zeros(width, np.float32), ONE)[:, None]
+        turned, bias, choice = self._scaled()
         # Large arrays are made once: fresh memory for each step would cost more than the sums.
         size = AT_ONCE * WINDOW
         state, gates, bits = np.ones((size, len(choice)), np.float32), np.empty((size, choice.shape[1]), np.float32), np.empty((size, choice.shape[1]), np.int32)
         for at in range(0, len(text), AT_ONCE):
             if moving and at:
-                asks, bias, choice = self._scaled()
+                turned, bias, choice = self._scaled()
             t, b = text[at : at + AT_ONCE], begin[at : at + AT_ONCE]
             inside = b[:, None] + place
             real = inside < lengths[t][:, None]
             index = np.where(real, base[t][:, None] + inside, base[t][:, None])
-            scored = real & ((b == 0)[:, None] | (place >= CONTEXT))
-            places = index[scored]
-            before = given[index]
-            x = layer["embed"][before]
-            flat = x.reshape(-1, x.shape[-1])
-            weight = (flat @ asks).reshape(x.shape) @ x.transpose(0, 2, 1)
+            scored = np.flatnonzero(real & ((b == 0)[:, None] | (place >= CONTEXT)))  # take() by these is faster than [] by masks
+            places = index.take(scored)
+            before = given.take(index)
+            flat = embed.take(before.ravel(), axis=0)
+            x = flat.reshape(*index.shape, width)
+            both = flat @ turned
+            both[:, -1] = 1
+            both = both.reshape(*index.shape, 2 * width + 1)
+            values = both[..., width:]
+            weight = both[..., :width] @ x.transpose(0, 2, 1)
             weight += bias
-            values = np.ones((*x.shape[:2], x.shape[2] + 1), x.dtype)
-            values[..., :-1] = (flat @ layer["value"]).reshape(x.shape)
             weight = weights(weight)
             read = weight @ values
-            n = len(places)
-            state[:n, :-1] = (x + read[..., :-1] / (read[..., -1:] + _LEAST))[scored]
+            n, own = len(places), read.reshape(-1, width + 1).take(scored, axis=0)
+            np.divide(own[:, :-1], own[:, -1:] + _LEAST, out=state[:n, :-1])
+            state[:n, :-1] += flat.take(scored, axis=0)
             gate = np.matmul(state[:n], choice, out=gates[:n])
-            yield places, weights(gate, ONE + FEWEST * SLOPE, bits[:n]), given[places], target[places], inside[scored], Step(before, scored, x, weight, values, read, state[:n])
+            furthest = np.abs(state[:n]).max(axis=0) @ np.abs(choice - middle)
+            least = None if furthest.max() < MOST * SLOPE else ONE + FEWEST * SLOPE
+            yield places, weights(gate, least, bits[:n]), given.take(places), target.take(places), inside.take(scored), Step(before, scored, x, weight, values, read, state[:n])
 
     def _scaled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """What gives weights() their inputs: for pairs of tokens, by distance, for kinds."""
+        """What gives weights() their inputs: for pairs of tokens (with what gives values beside it, and room for ones), by distance, for kinds."""
         layer = self.layer
         asks = layer["query"] @ layer["key"].T * SLOPE
-        bias = np.where(_AGO >= 0, layer["bias"][np.maximum(_AGO, 0)] * SLOPE + ONE, np.float32(-1e30))
-        return asks, bias, np.vstack((layer["gate"] * SLOPE, layer["lean"] * SLOPE + ONE))  # lean has a component of its own, always one
+        bias = np.full(_AGO.size, -1e30, np.float32)
+        bias[_SEEN] = (layer["bias"] * SLOPE + ONE).take(_BACK)
+        return np.hstack((asks, layer["value"], np.zeros((len(asks), 1), np.float32))), bias.reshape(_AGO.shape), np.vstack((layer["gate"] * SLOPE, layer["lean"] * SLOPE + ONE))  # lean has a component of its own, always one
 
     def _mixture(self, gate: np.ndarray, target: np.ndarray) -> np.ndarray:
         return np.einsum("wig,wig->wi", gate, self.table[target])
@@ -256,6 +277,9 @@ def _scatter(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
 
 
 _AGO = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
+#: The pairs of a window's places whose first sees the second, and how far back that is.
+_SEEN = np.flatnonzero(_AGO >= 0)
+_BACK = _AGO.ravel()[_SEEN]
 
 
 def _forward(layer: dict[str, np.ndarray], given: np.ndarray) -> dict[str, np.ndarray]:

@@ -57,8 +57,16 @@ class ByteBpe:
         Pieces begin at spaces, so the words are read as one text.  None where that may differ: words that hold white
         space of other kinds or no UTF-8, and long ones.
         """
+        ids = self.ids_of_words(words)
+        if ids is None:
+            return None
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        if not len(words) or not sizes.all() or sizes.max() >= LONG_RUN:
+        upto = np.searchsorted(np.cumsum(self.lengths.take(ids)), np.cumsum(sizes + 1)) + 1
+        return ids, np.diff(upto, prepend=0)
+
+    def ids_of_words(self, words: list[bytes]) -> np.ndarray | None:
+        """The ids of encode_words() alone, or None where it gives none."""
+        if not words or not all(words) or len(max(words, key=len)) >= LONG_RUN:
             return None
         try:
             text = " " + b" ".join(words).decode()
@@ -66,9 +74,7 @@ class ByteBpe:
             return None
         if _ODD_SPACE.search(text):
             return None
-        ids = self.core.encode_to_numpy(text, allowed_special=frozenset(), disallowed_special=())
-        upto = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes + 1)) + 1
-        return ids, np.diff(upto, prepend=0)
+        return self.core.encode_to_numpy(text, allowed_special=frozenset(), disallowed_special=())
 
     def encode_ordinary(self, text: str) -> np.ndarray:
         """As encode(), but special tokens' strings are ordinary text."""

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -83,7 +84,8 @@ class Subwords:
 
     def text(self, words: list[bytes]) -> np.ndarray:
         """The subwords of a text, with its end."""
-        return np.append(self.cut(words)[0], np.uint32(self.end))
+        ids = self.coder.ids_of_words(words)
+        return np.append(self.cut(words)[0] if ids is None else ids, np.uint32(self.end))
 
 
 _loaded: dict[tuple[str, int], Subwords] = {}
@@ -242,7 +244,7 @@ class LanguageModel:
                 flat = np.append(np.concatenate([model.layer[k].ravel() for k in rest]).astype(float) * given.sum(), given.sum())
                 flat = np.append(flat, np.zeros(-len(flat) % wide)).reshape(-1, wide)
                 ids = np.flatnonzero(into.any(axis=1) | (given > 0))
-                own = np.concatenate((into[ids], model.layer["embed"][ids] * given[ids, None], given[ids, None]), axis=1)
+                own = np.concatenate((into[ids], model.layer["embed"][ids] * given[ids, None], given[ids, None]), axis=1, dtype=np.float32)
                 yield some([*ids, *range(size, size + len(flat))], [*own, *flat])
 
         def add(batches):
@@ -372,15 +374,20 @@ def _scored(model: Attention, counts: Counts, end: int, texts: list[tuple[list[b
     if not texts:
         return []
     logs = model.logs([np.append(ids, np.uint32(end)) for _, ids, _ in texts])
-    out, at, get = [], 0, counts.head.get
-    for words, ids, sizes in texts:
-        own, at = logs[at : at + len(ids) + 1], at + len(ids) + 1
-        by_word = np.add.reduceat(own, np.append(0, np.cumsum(sizes)))
-        n = np.array([get(w, 0) for w in words] + [get(END, 0)])
-        known = n > 0
-        known[-1] = True  # the end's count is in the head, or nothing was learnt
-        n_known = n[known]
-        base = float(np.log10((n_known + 0.5) / counts.floor).sum())
-        rare = np.flatnonzero(~known)
-        out.append((len(words) + 1, int(np.count_nonzero(n)), base, float(_mixed_array(by_word[known], n_known, counts.total).sum()), float(own.sum()), [words[i] for i in rare], by_word[rare].tolist()))
-    return out
+    words = [w for own, _, _ in texts for w in (*own, END)]
+    n_tokens = np.array([len(own) + 1 for own, _, _ in texts])
+    last = np.cumsum(n_tokens)
+    first = last - n_tokens
+    sizes = np.concatenate([x for _, _, own in texts for x in (own, [1])]).astype(np.int64)
+    by_word = np.add.reduceat(logs, np.cumsum(sizes) - sizes)
+    n = np.array(list(map(counts.head.get, words, repeat(0))))
+    known = n > 0
+    known[last - 1] = True  # the end's count is in the head, or nothing was learnt
+    base, score = np.zeros(len(words)), np.zeros(len(words))
+    base[known] = np.log10((n[known] + 0.5) / counts.floor)
+    score[known] = _mixed_array(by_word[known], n[known], counts.total)
+    n_known, base, score, own = (np.add.reduceat(x, first).tolist() for x in ((n > 0).astype(np.int64), base, score, by_word))
+    rare = np.flatnonzero(~known)
+    cut = np.searchsorted(rare, np.append(0, last)).tolist()
+    rare_words, rare_logs = [words[i] for i in rare.tolist()], by_word[rare].tolist()
+    return [(*row, rare_words[a:b], rare_logs[a:b]) for *row, a, b in zip(n_tokens.tolist(), n_known, base, score, own, cut, cut[1:], strict=False)]

@@ -290,3 +290,46 @@ def test_words_are_cut_as_one_text():
     for odd in ("a\xa0", "\x85b", "\u3000", "\x1cb", "x" * 3000):
         assert coder.encode_words([b"plain", odd.encode()]) is None
     assert coder.encode_words([b"plain", b"\xff"]) is None and coder.encode_words([b"plain", b""]) is None and coder.encode_words([]) is None
+
+
+def test_logs_that_need_no_clipping():
+    """Where no log can be beyond what weights() tells apart, the clip is left out; where one can, it is not."""
+    x = np.linspace(-50, 50, 10_001).astype(np.float32) * attention.SLOPE + attention.ONE
+    assert np.array_equal(attention.weights(x.copy(), None), attention.weights(x.copy()))
+    model, far, rng = small(), small(), np.random.default_rng(2)
+    far.layer["gate"] *= 1000
+    texts, seen, plainly = [rng.integers(0, 50, n) for n in (40, 100)], [], attention.weights
+
+    def held(scaled, least=np.float32(0), into=None):
+        seen.append((least is None, float(np.abs(scaled - attention.ONE).max())) if into is not None else (False, 0.0))
+        return plainly(scaled, least, into)
+
+    attention.weights = held
+    try:
+        assert np.isfinite(far.logs(texts)).all() and not any(free for free, _ in seen)
+        seen.clear()
+        assert np.allclose(model.logs(texts), [p for t in texts for p in plain(model, t)], atol=1e-4)
+    finally:
+        attention.weights = plainly
+    assert any(free for free, _ in seen) and all(most < attention.MOST * attention.SLOPE for free, most in seen if free)
+
+
+def test_texts_are_scored_together_as_alone():
+    rng, model = np.random.default_rng(6), small(50257)
+    cutter = lm._subwords(PATH, 50256)
+    texts = [[f"w{k}".encode() for k in rng.integers(0, 30, n)] for n in (3, 0, 50, 1, 0, 200)]
+    counts = lm.Counts(500, 31, {f"w{k}".encode(): k + 1 for k in range(0, 30, 2)} | {lm.END: 9})
+    cut = [(t, *cutter.cut(t)) for t in texts]
+    together, alone = lm._scored(model, counts, 50256, cut), [lm._scored(model, counts, 50256, [t])[0] for t in cut]
+    for a, b, t in zip(together, alone, texts, strict=True):
+        assert a[:2] == b[:2] == (len(t) + 1, 1 + sum(w in counts.head for w in t)) and a[5] == b[5] == [w for w in t if w not in counts.head]
+        assert np.allclose(a[2:5], b[2:5], rtol=1e-5) and np.allclose(a[6], b[6], rtol=1e-4)
+        assert math.isclose(a[2], sum(math.log10((counts.head[w] + 0.5) / counts.floor) for w in [*t, lm.END] if w in counts.head), rel_tol=1e-9)
+
+
+def test_ids_without_sizes():
+    coder = lm._subwords(PATH, 50256).coder
+    for words in ([b"the", b"quick", b"it's"], ["中文".encode(), b"x"], [b"a" * 1999]):
+        assert np.array_equal(coder.ids_of_words(words), coder.encode_words(words)[0])
+    for words in ([], [b""], [b"\xff"], [b"x" * 2000], ["a\xa0".encode()]):
+        assert coder.ids_of_words(words) is None is coder.encode_words(words)
