@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Ranges that a group's values are counted by before ranks are looked for in one of them.
 RANGES = 4096
+#: Values that a group may have for one task to go through them in order.
+SMALL = 100_000
 
 
 def _quantiles(rows: DataFrame, key: str, value: str, shares: list[float]) -> DataFrame:
@@ -36,8 +38,18 @@ def _quantiles(rows: DataFrame, key: str, value: str, shares: list[float]) -> Da
 
 
 def medians(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """key, median, of groups of any size."""
-    return _quantiles(rows, key, value, [0.5]).select(key, F.col("q").alias("median"))
+    """key, median (null for a group without values), of groups of any size and number.
+
+    A small group's values are counted through in order, after one shuffle and one sort that can spill.  Larger groups are few, and are
+    told by a count.
+    """
+    d = rows.select(F.col(key).alias("k"), F.col(value).cast("double").alias("x"))
+    large = F.broadcast(d.where("k IS NOT NULL").groupBy("k").agg(F.count("x").alias("n")).where(F.col("n") > SMALL).select("k"))  # a key in SMALL rows at most
+    order = Window.partitionBy("k").orderBy(F.asc_nulls_last("x"))
+    counted = d.join(large, "k", "left_anti").select("k", "x", F.row_number().over(order).alias("i"), F.lead("x").over(order).alias("next"), F.count("x").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
+    middle = F.when(F.col("n") % 2 == 1, F.col("x")).otherwise(F.col("x") + (F.col("next") - F.col("x")) * 0.5)
+    small = counted.where(F.col("i") == F.greatest(F.lit(1), F.ceil(F.col("n") / 2))).select(F.col("k").alias(key), F.when(F.col("n") > 0, middle).alias("median"))
+    return small.unionByName(_quantiles(d.join(large, "k", "left_semi"), "k", "x", [0.5]).select(F.col("k").alias(key), F.col("q").alias("median")))
 
 
 def latency(rows: DataFrame, key: str, seconds: str, units: str | None = None) -> DataFrame:
