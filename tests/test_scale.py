@@ -17,3 +17,9 @@ def plan(df):
 
 def test_receipts_are_dealt_before_they_are_made(spark):
     assert f"], {4 * spark.sparkContext.defaultParallelism}" in next(x for x in plan(QUERIES["q_generated_receipts"](spark, SF)).splitlines() if "RepartitionByExpression" in x)
+
+
+def test_marks_are_those_of_the_pattern(spark):
+    d = spark.range(0x3200).where("id not between 55296 and 57343").select(F.concat(F.lit("a"), F.expr("decode(encode(char(0), 'UTF-8'), 'UTF-8')").substr(1, 0), F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE"), F.lit("b")).alias("x"))
+    assert d.where(t.compact(F.col("x")) != F.regexp_replace("x", fixed.COMPACT, "")).count() == 0
+    assert "regexp_replace" not in plan(d.select(t.loose(F.col("x"))))
