@@ -23,3 +23,13 @@ def test_marks_are_those_of_the_pattern(spark):
     d = spark.range(0x3200).where("id not between 55296 and 57343").select(F.concat(F.lit("a"), F.expr("decode(encode(char(0), 'UTF-8'), 'UTF-8')").substr(1, 0), F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE"), F.lit("b")).alias("x"))
     assert d.where(t.compact(F.col("x")) != F.regexp_replace("x", fixed.COMPACT, "")).count() == 0
     assert "regexp_replace" not in plan(d.select(t.loose(F.col("x"))))
+
+
+def test_a_misread_brand_is_sought_in_few_windows():
+    form = "ミナトコンビニ"
+    whole = "あ" * 500 + "ミ◇トコンビニ" + "い" * 500
+    assert 500 in (places := extract._places(form, whole, len(form))) and len(places) <= 4
+    extract._likeness.cache_clear()
+    for _ in range(3):
+        assert extract.likest_brand(whole, [(form, form)]) == form
+    assert extract._likeness.cache_info().misses == len({whole[i : i + len(form)] for i in places if extract._shared(form, whole[i : i + len(form)], len(form))[0] >= 6})
