@@ -85,9 +85,17 @@ def by_condition(cases: DataFrame, degraded: DataFrame, case: str = "case_id") -
     return clean.unionByName(degraded.join(cases.select(case), case, "left_semi").select(case, F.col("strength").alias("cond"), F.col("output").alias("image")))
 
 
-def field_by_condition(rows: DataFrame, conditions: list[str], case: str) -> DataFrame:
-    """field, n (cases whose truth has it, under whatever condition), and for each condition how many are right."""
-    n = rows.groupBy("field").agg(F.count_distinct(case).alias("n"))
+def field_by_condition(rows: DataFrame, conditions: list[str], case: str, fields: list[str] | None = None) -> DataFrame:
+    """field, n (cases whose truth has it, under whatever condition), and for each condition how many are right.
+
+    fields: those that may occur.  A case's are bits of one number, so that a task keeps a number a case, not a row a case and field.
+    """
+    fields = fields or fixed.FIELDS
+    bit = {f: F.lit(1 << i).cast("bigint") for i, f in enumerate(fields)}
+    mask = F.try_element_at(F.create_map(*(x for f in fields for x in (F.lit(f), bit[f]))), F.col("field"))
+    have = rows.where(F.col(case).isNotNull()).groupBy(case).agg(F.bit_or(mask).alias("_have"))
+    cells = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"_{i}").alias("n")) for i, f in enumerate(fields)))
+    n = have.agg(*(F.count_if(F.col("_have").bitwiseAND(bit[f]) != 0).alias(f"_{i}") for i, f in enumerate(fields))).select(F.inline(cells))
     return n.join(score_pivot(rows, "field", "cond", conditions), "field")
 
 

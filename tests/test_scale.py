@@ -33,3 +33,11 @@ def test_a_misread_brand_is_sought_in_few_windows():
     for _ in range(3):
         assert extract.likest_brand(whole, [(form, form)]) == form
     assert extract._likeness.cache_info().misses == len({whole[i : i + len(form)] for i in places if extract._shared(form, whole[i : i + len(form)], len(form))[0] >= 6})
+
+
+def test_by_condition_keeps_a_number_a_case(spark):
+    rows = [(1, "clean", "total", True), (1, "heavy", "total", False), (1, "heavy", "total", True), (2, "clean", "tax", False), (None, "clean", "tax", True)]
+    d = spark.createDataFrame(rows, "k int, cond string, field string, ok boolean")
+    out = evaluate.field_by_condition(d, ["clean", "heavy"], "k")
+    assert {tuple(r) for r in out.collect()} == {("total", 1, 1, 1), ("tax", 1, 1, 0)}
+    assert "distinct" not in plan(out)
