@@ -41,3 +41,8 @@ def test_by_condition_keeps_a_number_a_case(spark):
     out = evaluate.field_by_condition(d, ["clean", "heavy"], "k")
     assert {tuple(r) for r in out.collect()} == {("total", 1, 1, 1), ("tax", 1, 1, 0)}
     assert "distinct" not in plan(out)
+
+
+def test_receipts_meet_their_amounts_last(spark):
+    first = next(x for x in plan(base.rendered(spark, SF)).splitlines() if "Join Inner" in x)  # the outermost
+    assert first.split("Join Inner, ")[1].count("k#") == 2 and "nationkey" not in first and "custkey" not in first
