@@ -135,17 +135,18 @@ def fields_from_labels(lines: DataFrame, image: str = "image_id") -> DataFrame:
     Best first: lines with kana or kanji, then by score, then by text, all descending.
     """
     order = F.struct(F.col("line").rlike("[ぁ-んァ-ヶ一-龥]").alias("worded"), F.col("score"), F.col("line"))
-    d = lines.where("label <> 'other'").select(image, "label", order.alias("o"), t.nfkc("line").alias("_n"))
-    ranked = d.groupBy(image, "label").agg(F.sort_array(F.collect_list(F.struct("o", "_n")), asc=False).alias("all"))
-    first = lambda f: F.get(F.filter(F.transform("all", lambda x: f(x["_n"])), lambda x: x.isNotNull()), F.lit(0))
-    tax = F.filter(F.transform("all", lambda x: F.struct(extract.line_rate(x["_n"]).alias("rate"), extract.line_amount(x["_n"]).alias("amt"))), lambda x: x["amt"].isNotNull())
+    d = lines.where("label <> 'other'").select(image, "label", order.alias("o"), t.normalised(F.col("line")).alias("_n"))
+    ranked = d.groupBy(image).agg(F.sort_array(F.collect_list(F.struct("o", "_n", "label")), asc=False).alias("all"))
     of = {f: ("datetime" if f in ("date", "time") else f) for f in fixed.FALLBACK_FIELDS}
-    value = {f: first(extract.line_amount) for f in extract.MONEY_FIELDS} | {
-        "tax": extract.tax_sum(tax), "date": first(extract.line_date), "time": first(extract.line_time),
-        "store_branch": first(extract.line_branch), "registration_number": first(extract.registration_of),
+    kinds = sorted(set(of.values()))
+    labelled = lambda kind: F.filter("all", lambda x: x["label"] == kind).alias(f"_{kind}")
+    ranked = ranked.select(image, *map(labelled, kinds))
+    first = lambda kind, f: F.get(F.filter(F.transform(f"_{kind}", lambda x: f(x["_n"])), lambda x: x.isNotNull()), F.lit(0))
+    tax = F.filter(F.transform("_tax", lambda x: F.struct(extract.line_rate(x["_n"]).alias("rate"), extract.line_amount(x["_n"]).alias("amt"))), lambda x: x["amt"].isNotNull())
+    value = {f: extract.line_amount for f in extract.MONEY_FIELDS} | {
+        "date": extract.line_date, "time": extract.line_time, "store_branch": extract.line_branch, "registration_number": extract.registration_of,
     }
-    cells = ranked.select(image, *(F.when(F.col("label") == of[f], value[f]).alias(f) for f in fixed.FALLBACK_FIELDS))
-    return cells.groupBy(image).agg(*(F.max(f).alias(f) for f in fixed.FALLBACK_FIELDS))
+    return ranked.select(image, *((extract.tax_sum(tax) if f == "tax" else first(of[f], value[f])).alias(f) for f in fixed.FALLBACK_FIELDS))
 
 
 def fill_missing(found: DataFrame, fallback: DataFrame, key: str = "image_id") -> DataFrame:

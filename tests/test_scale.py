@@ -46,3 +46,10 @@ def test_by_condition_keeps_a_number_a_case(spark):
 def test_receipts_meet_their_amounts_last(spark):
     first = next(x for x in plan(base.rendered(spark, SF)).splitlines() if "Join Inner" in x)  # the outermost
     assert first.split("Join Inner, ")[1].count("k#") == 2 and "nationkey" not in first and "custkey" not in first
+
+
+def test_labelled_lines_are_grouped_once(spark):
+    d = spark.createDataFrame([(1, "合計 ¥5", "total", 0.9), (1, "合計", "total", 0.95), (1, "消費税 8% ¥3", "tax", 0.9), (1, "26.06.01", "datetime", 0.9), (2, "x", "other", 0.9)], "image_id int, line string, label string, score double")
+    out = labeling.fields_from_labels(d)
+    assert [(r.image_id, r.total, r.tax, r.date, r.time) for r in out.collect()] == [(1, 5, 3, "2026-06-01", None)]
+    assert plan(out).count("Aggregate") == 1
